@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, toxicity, url_filter
+from . import licenses, mixing, packing, quality, simhash, toxicity, url_filter
 from .common import Saved, table
 
 
@@ -15,6 +15,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), Saved(spark, "op2"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), Saved(spark, "op3"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Saved(spark, "op4"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,6 +50,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_licenses": op2_licenses,
+        "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
         "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
