@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, simhash, toxicity, url_filter
+from . import licenses, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
 from .common import Saved, table
 
 
@@ -47,6 +47,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), Saved(spark, "op9"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_licenses": op2_licenses,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
