@@ -104,8 +104,9 @@ def packed(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.n
 
 
 def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
-    """(doc, first, n, src, open) from ROWs: runs that copy an earlier one, which starts in the document ``src``; and with
-    ``open`` first occurrences of runs whose anchor other runs have too, which may share some of their windows."""
+    """(doc, first, n, src, open, anchor) from ROWs: runs that copy an earlier one, which starts in the document ``src``;
+    and with ``open`` (these have their anchor) first occurrences of runs whose anchor other runs have too, which may
+    share some of their windows."""
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
     same = W.partitionBy("anchor", "content").orderBy("doc", "at")
     found = rows.select("*", F.first("doc").over(same).alias("src"), F.rank().over(same).alias("k"))
@@ -117,6 +118,6 @@ def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
         F.shiftrightunsigned("at", 9).alias("first"),
         F.shiftright("at", 1).bitwiseAND(F.lit(255)).cast("int").alias("n"),
         F.when(known, F.col("content")).otherwise(F.col("src")).alias("src"),
-        (~known & ~copy).alias("open"), (known | copy | F.col("several")).alias("kept"),
+        (~known & ~copy).alias("open"), F.when(~known & ~copy, F.col("anchor")).alias("anchor"), (known | copy | F.col("several")).alias("kept"),
     )
     return saved.put(found.where("kept").drop("kept"), name)

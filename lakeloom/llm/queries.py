@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from . import licenses, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from .common import Saved, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Saved(spark, "op1")).drop("spans")
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), Saved(spark, "op2"))
 
@@ -53,6 +57,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_licenses": op2_licenses,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
