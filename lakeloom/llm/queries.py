@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import embedding_dedup, licenses, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from .common import Saved, table
 
 
@@ -55,6 +55,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), Saved(spark, "op9"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Saved(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
