@@ -66,15 +66,17 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     """The columns ``keep`` of docs and the statistics of the text."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    kept = docs.select(F.col(text_col).alias("_text_"), *keep)
-    schema = StructType([*kept.schema.fields[1:], *(StructField(s, LongType()) for s in STATISTICS)])
+    own = 0 if text_col in keep else 1  # the text comes first unless it is kept anyway
+    kept = docs.select(*([F.col(text_col).alias("_text_")] * own), *keep)
+    at = 0 if own else keep.index(text_col)
+    schema = StructType([*kept.schema.fields[own:], *(StructField(s, LongType()) for s in STATISTICS)])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = np.array([statistics(t) for _, _, texts in chunks(batch, 0) for t in texts], np.int64).reshape(-1, len(STATISTICS))
-            columns = [*batch.columns[1:], *(pa.array(got[:, k]) for k in range(len(STATISTICS)))]
+            got = np.array([statistics(t) for _, _, texts in chunks(batch, at) for t in texts], np.int64).reshape(-1, len(STATISTICS))
+            columns = [*batch.columns[own:], *(pa.array(got[:, k]) for k in range(len(STATISTICS)))]
             yield pa.record_batch(columns, names=[f.name for f in schema.fields])
 
     return kept.mapInArrow(run, schema)
