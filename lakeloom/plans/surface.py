@@ -14,7 +14,7 @@ BOTH: dict[str, str] = {
     "pred_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'small%' OR p_name LIKE '%ring'",
     "pred_not_like": "SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%a%'",
     "pred_and_or_nested": "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR (o_orderpriority = '1-URGENT' AND o_totalprice > 300000)) AND NOT (o_custkey BETWEEN 100 AND 200)",
-    "pred_is_null": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 480000 WHERE o_orderkey IS NULL",
+    "pred_is_null": "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 480000 WHERE o_orderkey IS NULL",
     "expr_case": "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'middle' ELSE 'large' END AS class FROM orders",
     "expr_date_literal": "SELECT COUNT(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02'",
     "sub_from": "SELECT seg, n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY c_mktsegment) AS s WHERE n > 10",
@@ -32,7 +32,7 @@ BOTH: dict[str, str] = {
     "join_self": "SELECT n1.n_name AS a, n2.n_name AS b FROM nation n1 JOIN nation n2 ON n1.n_regionkey = n2.n_regionkey WHERE n1.n_nationkey < n2.n_nationkey",
     "join_residual": "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_suppkey % 10 = c_custkey % 10",
     "join_left_extra_on": "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT OUTER JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'O' GROUP BY c_custkey",
-    "join_right": "SELECT n_name, s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey",
+    "join_right": "SELECT n_name, COALESCE(s_suppkey, -1) AS s_suppkey FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey",
     "join_full": "SELECT COALESCE(a.c_nationkey, -1) AS a, COALESCE(b.s_nationkey, -1) AS b, COALESCE(n, 0) AS n, COALESCE(m, 0) AS m FROM (SELECT c_nationkey, COUNT(*) AS n FROM customer WHERE c_acctbal > 9500 GROUP BY c_nationkey) a FULL OUTER JOIN (SELECT s_nationkey, COUNT(*) AS m FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) b ON a.c_nationkey = b.s_nationkey",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_comma": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",

@@ -1 +1 @@
-
+"""Where frames are kept, written and read."""

@@ -1 +1 @@
-
+"""Structured Streaming into frames."""
