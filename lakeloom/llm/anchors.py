@@ -19,10 +19,10 @@ M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    return h
 
 
 def rolled(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -39,7 +39,9 @@ def rolled(tokens: np.ndarray, k: int) -> np.ndarray:
         if size > k:
             return total
         half = size // 2
-        done = done[: len(tokens) - size + 1] * _pow(half) + done[half : len(tokens) - half + 1]
+        after = done[half : len(tokens) - half + 1]
+        done = done[: len(tokens) - size + 1] * _pow(half)
+        done += after
 
 
 def _pow(n: int) -> np.uint64:
@@ -70,15 +72,16 @@ def runs(tokens: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarr
     hashes = mixed(rolled(tokens, k))
     bits = np.uint64(max(1, len(hashes)).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
-    ordered = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    at = slid(ordered, n - k + 1) & low  # of each window its anchor
-    text = np.repeat(np.arange(len(ends)), many)
-    window = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + starts[text]
-    anchor = at[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    first = np.nonzero(new)[0]
-    return text[first], window[first], np.diff(np.append(first, len(window))), hashes[anchor[first]]
+    ordered = hashes & ~low
+    ordered |= np.arange(len(hashes), dtype=np.uint64)
+    at = slid(ordered, n - k + 1)  # of each window its anchor: the hash above, the place below
+    first = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, starts[many > 0])
+    text = np.searchsorted(starts, first, side="right") - 1  # of empty texts at one place the last
+    stop = starts[text] + many[text]
+    inside = first < stop
+    first, text, stop = first[inside], text[inside], stop[inside]
+    size = np.minimum(stop, np.append(first[1:], len(tokens))) - first
+    return text, first, size, hashes[(at[first] & low).astype(np.int64)]
 
 
 #: What a run is sent as. ``content`` tells runs with one anchor apart; ``at`` holds the first token, the number of

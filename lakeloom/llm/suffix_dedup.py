@@ -36,6 +36,8 @@ WINDOW, ANCHOR = 100, 32
 CROWD = 10_000
 #: Bytes of runs in an index, about; whole anchors are kept together.
 INDEXED = 1 << 20
+#: Bytes whose runs are found at a time.
+BLOCK = 1 << 18
 BYTES = anchors.mixed(np.arange(1, 257, dtype=np.uint64) * anchors.M)
 
 
@@ -45,26 +47,46 @@ def digests(text: bytes, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.fromiter((digest(text[a:b]) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)), np.uint64, len(first))
 
 
+def blocks(texts: list[bytes], window: int, most: int = BLOCK):
+    """(texts, row of each, where in its text each begins): about ``most`` bytes, which the processor's cache holds.
+    Longer texts come in parts that overlap, so that each window starts in just one."""
+    some, rows, begins, size = [], [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(len(text) - window + 1, 1), most):
+            some.append(text[at : at + most + window - 1])
+            rows.append(row)
+            begins.append(at)
+            size += len(some[-1])
+            if size >= most:
+                yield some, np.array(rows), np.array(begins)
+                some, rows, begins, size = [], [], [], 0
+    if some:
+        yield some, np.array(rows), np.array(begins)
+
+
 def pieces(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All runs of windows of docs (id, text) as rows of anchors.ROW."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, texts in chunks(batch, 1):
-                joined = b"".join(texts)
-                sizes = np.array([len(t) for t in texts], np.int64)
-                ends = np.cumsum(sizes)
-                text, start, n, hashes = anchors.runs(BYTES[np.frombuffer(joined, np.uint8)], ends, window, anchor)
-                content = (digests(joined, start, n + window - 1) >> np.uint64(32)).astype(np.int64)
-                yield _batch(anchors.packed(hashes, content, ids[first + text], start - (ends - sizes)[text], n, True), NAMES)
+            for row, _, texts in chunks(batch, 1, 4_000_000):
+                found = []
+                for some, rows, begins in blocks(texts, window):
+                    joined = b"".join(some)
+                    sizes = np.array([len(t) for t in some], np.int64)
+                    ends = np.cumsum(sizes)
+                    text, start, n, hashes = anchors.runs(BYTES[np.frombuffer(joined, np.uint8)], ends, window, anchor)
+                    content = (digests(joined, start, n + window - 1) >> np.uint64(32)).astype(np.int64)
+                    found.append((hashes, content, ids[row + rows[text]], start - (ends - sizes - begins)[text], n))
+                yield _batch(anchors.packed(*map(np.concatenate, zip(*found, strict=True)), True), NAMES)
 
     return docs.mapInArrow(run, anchors.ROW)
 
 
 def _asked(batch):
     """(first row, texts, text of each run, start, windows, anchor) from batches (id, z, firsts, ns, anchors)."""
-    for first, end, texts in unzipped(batch, 1):
+    for first, end, texts in unzipped(batch, 1, 2_000_000):
         lists = [batch.column(k).slice(first, end - first) for k in (2, 3, 4)]
         text = np.repeat(np.arange(end - first), lists[0].value_lengths().to_numpy(zero_copy_only=False))
         yield first, texts, text, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)
@@ -112,7 +134,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     for k in range(h):
         key = (key << np.uint64(9)) | padded[k : k + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
@@ -148,8 +170,9 @@ class RunLengthIndex:
         transform = s[order - 1]  # the first suffix has the last symbol before it
         starts = np.concatenate([[0], np.nonzero(transform[1:] != transform[:-1])[0] + 1])
         self.n, self.heads, self.lengths = len(s), transform[starts], np.diff(np.append(starts, len(s)))
-        # Position 0 also starts anew: the symbol before it is not a text's
-        starts = np.union1d(starts, np.nonzero(order == 0)[0])
+        # The first suffix has none before it in the text: its rank starts anew, and so does the next
+        rank = int(np.flatnonzero(order == 0)[0])
+        starts = np.union1d(starts, [r for r in (rank, rank + 1) if r < len(s)])
         at, before = order[starts], order[starts - 1]
         length = match_lengths(s, at, before, most)
         length[starts == 0] = 0
