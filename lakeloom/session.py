@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +36,14 @@ def get_session(app: str = "lakeloom", master: str | None = None, **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, as Spark sends any Python file: functions travel by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_lakeloom_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="lakeloom-")  # the driver serves the file from here as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/lakeloom", "zip", os.path.dirname(root), os.path.basename(root)))
+        context._lakeloom_shipped = True
