@@ -104,6 +104,8 @@ class Lake:
         for p in partition_by or []:
             if p not in fields:
                 raise SchemaError(f"Partition column '{p}' is not in the schema")
+            if not isinstance(spark_schema(schema)[p].dataType, frames.COUNTED):
+                raise SchemaError(f"Partition column '{p}' has a type without an order")
         self.catalog.create_frame(hive, box_name, name, schema, partition_by)
         Ledger.create(self.storage, f"{hive}/{box_name}/{name}", self.node_id, schema, partition_by or [])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -45,23 +46,21 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*columns)
 
 
-def check_partitions(df: DataFrame, partition_by: list[str], most: int, there: set[tuple[str, ...]]) -> None:
-    """Null or unsafe partition values are errors, and too many partitions. One job over the partition columns."""
-    if not partition_by:
-        return
-    bad = df.agg(*(F.count(F.when(F.col(p).isNull(), 1)).alias(f"n_{p}") for p in partition_by), *(F.count(F.when(F.col(p).cast("string").rlike(BAD_VALUE), 1)).alias(f"b_{p}") for p in partition_by)).first()
+def check_cells(cells: list[Cell], partition_by: list[str], most: int, there: set[tuple[str, ...]]) -> None:
+    """Null or unsafe partition values are errors, and too many partitions: read from the new cells, so that rows are
+    made only once."""
     for p in partition_by:
-        if bad[f"n_{p}"]:
+        if any(c.stats[p].null_count for c in cells):
             raise SchemaError(f"Partition column '{p}' contains null values")
-        if bad[f"b_{p}"]:
+        if any(re.search(BAD_VALUE, c.partition_values[p]) for c in cells):
             raise SchemaError(f"Partition column '{p}' contains values with '..', '/', '\\' or NUL")
-    new = {tuple(r) for r in df.select(*(F.col(p).cast("string") for p in partition_by)).distinct().limit(most + 1).collect()}
-    if len(new | there) > most:
+    if partition_by and len(there | {tuple(c.partition_values[p] for p in partition_by) for c in cells}) > most:
         raise SchemaError(f"more than {most} partitions")
 
 
-def write_cells(df: DataFrame, root: str, frame: str, partition_by: list[str], target_bytes: int) -> list[Cell]:
-    """Writes rows as LZ4 Parquet files in a new folder of the frame and describes them.
+def write_cells(df: DataFrame, root: str, frame: str, partition_by: list[str], target_bytes: int, check=None) -> list[Cell]:
+    """Writes rows as LZ4 Parquet files in a new folder of the frame and describes them. If ``check`` refuses the cells,
+    the folder goes again.
 
     Rows of a partition come together, without making one task of a large one: AQE splits and joins partitions to the
     advisory size. Statistics come from one aggregation over the new files.
@@ -69,12 +68,20 @@ def write_cells(df: DataFrame, root: str, frame: str, partition_by: list[str], t
     spark, folder = df.sparkSession, f"cells_{uuid.uuid4().hex}"
     dealt = df.hint("rebalance", *(F.col(p) for p in partition_by)) if partition_by else df.hint("rebalance")
     row = sum(_width(f.dataType) for f in df.schema.fields)
-    writer = dealt.select("*", *(F.col(p).cast("string").alias(f"{PREFIX}{p}") for p in partition_by)).write.option("compression", "lz4_raw").option("maxRecordsPerFile", max(1, target_bytes // max(row, 1)))
+    writer = dealt.select("*", *(F.translate(F.col(p).cast("string"), "\0", "?").alias(f"{PREFIX}{p}") for p in partition_by)).write.option("compression", "lz4_raw").option("maxRecordsPerFile", max(1, target_bytes // max(row, 1)))
     if partition_by:
         writer = writer.partitionBy(*(f"{PREFIX}{p}" for p in partition_by))
     path = f"{root}/{frame}/{folder}"
     writer.parquet(path)
-    return describe(spark, path, f"{root}/{frame}", df.schema, partition_by)
+    cells = describe(spark, path, f"{root}/{frame}", df.schema, partition_by)
+    if check is not None:
+        try:
+            check(cells)
+        except SchemaError:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            raise
+    return cells
 
 
 def _width(t: T.DataType) -> int:
@@ -83,6 +90,7 @@ def _width(t: T.DataType) -> int:
 
 def describe(spark: SparkSession, path: str, base: str, schema: T.StructType, partition_by: list[str]) -> list[Cell]:
     fields = [f for f in schema.fields if isinstance(f.dataType, COUNTED)]
+    names = [f.name for f in fields]
     aggregates = [F.count("*").alias("rows")]
     for k, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -103,7 +111,7 @@ def describe(spark: SparkSession, path: str, base: str, schema: T.StructType, pa
                 low = high = None  # a value that compares with nothing: no bounds
             stats[f.name] = ColumnStats(low, high, r[f"null{k}"])
         # All rows of a cell have the same partition values, which the statistics hold
-        values = {p: _text(r[f"min{[f.name for f in fields].index(p)}"]) for p in partition_by}
+        values = {p: _text(r[f"min{names.index(p)}"]) for p in partition_by}
         cells.append(Cell(uuid.uuid4().hex, own, r["rows"], r["file_size"], values, stats))
     return sorted(cells, key=lambda c: c.path)
 
@@ -154,8 +162,8 @@ def write(spark: SparkSession, storage, frame_key: str, spec: dict, df: DataFram
     ledger = Ledger.open(storage, frame_key, node) if overwrite else Ledger.create(storage, frame_key, node, spec["schema"], spec["partition_by"])
     rows = conform(df, schema)
     there = set() if overwrite else {tuple(c.partition_values.get(p, "") for p in spec["partition_by"]) for c in ledger.cells.values()}
-    check_partitions(rows, spec["partition_by"], spec.get("max_partitions", 10_000), there)
-    cells = write_cells(rows, storage.root, frame_key, spec["partition_by"], target_bytes)
+    check = lambda cells: check_cells(cells, spec["partition_by"], spec.get("max_partitions", 10_000), there)
+    cells = write_cells(rows, storage.root, frame_key, spec["partition_by"], target_bytes, check)
     version = ledger.replace_all(cells) if overwrite else ledger.add(cells, writer, number)
     return WriteResult(version, len(cells), sum(c.rows for c in cells), sum(c.bytes for c in cells), int((time.monotonic() - started) * 1000))
 
