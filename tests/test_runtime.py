@@ -33,8 +33,9 @@ def test_memory_budget():
 
 
 def test_timeout(spark):
-    pool = runtime.Pool(spark, 2, timeout_s=1.0)
+    pool = runtime.Pool(spark, 2, timeout_s=60.0)
     assert pool.run(lambda: spark.range(5).count()) == 5
+    pool.timeout_s = 0.5
     with pytest.raises(TaskTimeoutError):
         pool.run(lambda: time.sleep(3))
     pool.close()
