@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.aliases import with_aliases
 from ..operators import joins, windows
@@ -14,24 +16,32 @@ from . import sensor, ssb, surface, tpch
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """The tables of a folder as views; only what a query names is read."""
+_schemas: dict[str, StructType] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its schema is read from the files once, as each reading is a Spark job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def register(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """The tables that a text names, as views."""
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", text):
+            _table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, text)
         return spark.sql(with_aliases(text))
 
     return run
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
