@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, licenses, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import embedding_dedup, licenses, mixing, oracle, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from .common import Saved, table
 
 
@@ -75,4 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries that SQL can express; tests compare the others with plain versions."""
+    return {
+        "op1_suffix_dedup": oracle.OP1,
+        "op2_licenses": oracle.OP2,
+        "op4_mixing": oracle.OP4,
+        "op7_url_filter": oracle.OP7,
+        "op9_substring_dedup": oracle.OP9,
+        "op10_embedding_dedup": oracle.OP10,
+    }
