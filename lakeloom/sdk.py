@@ -49,8 +49,9 @@ def from_ipc(spark: SparkSession, data: bytes) -> DataFrame:
 class Lake:
     """Namespaces, frames and SQL over one storage root."""
 
-    def __init__(self, name: str, storage: str | None = None, spark: SparkSession | None = None):
-        self.name, self.uri = name, storage
+    def __init__(self, name: str, storage: str | None = None, spark: SparkSession | None = None, timeout_s: float = 30.0):
+        """``timeout_s`` bounds sql(), which gathers its rows; sql_df() has no bound of its own."""
+        self.name, self.uri, self.timeout_s = name, storage, timeout_s
         self._spark, self._parts = spark, None
 
     # Lifecycle
@@ -62,7 +63,7 @@ class Lake:
         self.node_id = uuid.uuid4().hex[:12]
         self.cores = spark.sparkContext.defaultParallelism
         catalog = Catalog(storage)
-        pool = runtime.Pool(spark, max(1, self.cores))
+        pool = runtime.Pool(spark, max(1, self.cores), self.timeout_s)
         heart = runtime.Heartbeat(storage, self.node_id, self._facts)
         self._parts = (spark, storage, catalog, SqlSession(spark, storage, catalog, self.node_id), pool, heart)
         heart.start()

@@ -23,7 +23,7 @@ def table(data):
 
 @pytest.fixture
 def lake(spark, tmp_path):
-    with Lake("t", str(tmp_path / "lake"), spark) as found:
+    with Lake("t", str(tmp_path / "lake"), spark, timeout_s=300) as found:
         found.create_hive("w")
         found.create_box("w", "s")
         yield found
