@@ -24,10 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose fingerprints are linked one row with the smallest id stays. Rows without an id
     cannot be named as a group's first and stay as they are."""
+    docs = docs.select(*COLUMNS)
     found = simhash.groups(docs, Saved(spark, "near"))
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null").select(*COLUMNS))
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS).union(docs.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +42,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document has as many rows as the mix takes copies of it, from none to two."""
+    docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs, Saved(spark, "mix"))
     copies = mixed.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_copies")).where("_copies > 0")
     rows = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word of most operators: bytes.split() without arguments cuts at just these characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with a function of this package, which the executors get if they lack it."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Saved:
     """Tables written to the shared folder, to cut lineage; those no longer needed can be dropped early."""
 

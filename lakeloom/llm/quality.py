@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
             columns = [*batch.columns[own:], *(pa.array(got[:, k]) for k in range(len(STATISTICS)))]
             yield pa.record_batch(columns, names=[f.name for f in schema.fields])
 
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def ratios() -> dict[str, Column]:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, chunks, components
+from .common import Saved, arrow_map, chunks, components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 FAMILIES = tuple((i, j) for i in range(3) for j in range(3) if i != j)  # equal segment, coded segment
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["id", "fp"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, fp long")
+    return arrow_map(plain, run, "id long, fp long")
 
 
 @lru_cache(1)
@@ -116,7 +116,7 @@ def keyed(fps: DataFrame, all_near: bool) -> DataFrame:
                 who = np.broadcast_to(fp[:, None], index.shape)[index >= 0]
                 yield pa.record_batch([pa.array(key[index >= 0]), pa.array(who)], names=["key", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long")
+    return arrow_map(fps.select("fp"), run, "key long, fp long")
 
 
 def linked(fps: DataFrame, saved: Saved, crowd: int = 8) -> DataFrame:
