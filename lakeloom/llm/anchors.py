@@ -85,7 +85,8 @@ def runs(tokens: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarr
 
 
 #: What a run is sent as. ``content`` tells runs with one anchor apart; ``at`` holds the first token, the number of
-#: windows (below 256) and whether the run is already known to be a copy, of a run in the document ``content``.
+#: windows (below 256) and whether the run is already known to be a copy: then ``content`` is the source document, and
+#: the low half of ``anchor`` is where in it the source starts.
 ROW = "anchor long, content long, doc long, at long"
 
 
@@ -102,17 +103,17 @@ def packed(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.n
     if within:
         copy |= (doc == doc[head]) & (first > first[head])
     at = (first << 9) | (n << 1) | copy
-    spread = mixed((doc * 31 + (first >> 12)).view(np.uint64)).view(np.int64)
-    return np.where(copy, spread, anchor.view(np.int64)), np.where(copy, doc[head], content), doc, at
+    spread = mixed((doc * 31 + (first >> 12)).view(np.uint64)) & ~np.uint64(0xFFFFFFFF)
+    return np.where(copy, spread.view(np.int64) | first[head], anchor.view(np.int64)), np.where(copy, doc[head], content), doc, at
 
 
 def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
-    """(doc, first, n, src, open, anchor) from ROWs: runs that copy an earlier one, which starts in the document ``src``;
-    and with ``open`` (these have their anchor) first occurrences of runs whose anchor other runs have too, which may
+    """(doc, first, n, src, src_first, open, anchor) from ROWs: runs that copy one that starts earlier, in the document
+    ``src`` at ``src_first``; and with ``open`` (these have their anchor) first occurrences of runs whose anchor other runs have too, which may
     share some of their windows."""
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
     same = W.partitionBy("anchor", "content").orderBy("doc", "at")
-    found = rows.select("*", F.first("doc").over(same).alias("src"), F.rank().over(same).alias("k"))
+    found = rows.select("*", F.first("doc").over(same).alias("src"), F.first("at").over(same).alias("src_at"), F.rank().over(same).alias("k"))
     by_anchor = W.partitionBy("anchor")
     found = found.select("*", (F.min("content").over(by_anchor) != F.max("content").over(by_anchor)).alias("several"))
     copy = (F.col("k") > 1) if within else (F.col("doc") > F.col("src"))
@@ -121,6 +122,7 @@ def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
         F.shiftrightunsigned("at", 9).alias("first"),
         F.shiftright("at", 1).bitwiseAND(F.lit(255)).cast("int").alias("n"),
         F.when(known, F.col("content")).otherwise(F.col("src")).alias("src"),
+        F.when(known, F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("src_at", 9)).alias("src_first"),
         (~known & ~copy).alias("open"), F.when(~known & ~copy, F.col("anchor")).alias("anchor"), (known | copy | F.col("several")).alias("kept"),
     )
     return saved.put(found.where("kept").drop("kept"), name)

@@ -2,7 +2,7 @@
 
 A byte goes if it is covered by a string of 100 bytes that also starts earlier, in a document with a smaller id or
 earlier in the same one. All strings of 100 bytes are dealt out by the anchor they contain. Runs of such strings that are
-equal as a whole are told by 96 bits that come from all their bytes, and only the first one goes on; runs that share an
+equal as a whole are told by 128 bits that come from all their bytes, and only the first one goes on; runs that share an
 anchor with others, and may be equal in part, are what the index is built over.
 
 The index is the run-compressed Burrows-Wheeler transform of the runs of some anchors, in the order of their documents.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import Saved, chunks
+from .common import Saved, arrow_map, chunks
 from .substring_dedup import NAMES, _batch, spans, unzipped, zipped
 
 WINDOW, ANCHOR = 100, 32
@@ -77,11 +77,11 @@ def pieces(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataF
                     sizes = np.array([len(t) for t in some], np.int64)
                     ends = np.cumsum(sizes)
                     text, start, n, hashes = anchors.runs(BYTES[np.frombuffer(joined, np.uint8)], ends, window, anchor)
-                    content = (digests(joined, start, n + window - 1) >> np.uint64(32)).astype(np.int64)
+                    content = digests(joined, start, n + window - 1).view(np.int64)
                     found.append((hashes, content, ids[row + rows[text]], start - (ends - sizes - begins)[text], n))
                 yield _batch(anchors.packed(*map(np.concatenate, zip(*found, strict=True)), True), NAMES)
 
-    return docs.mapInArrow(run, anchors.ROW)
+    return arrow_map(docs, run, anchors.ROW)
 
 
 def _asked(batch):
@@ -104,7 +104,7 @@ def cut(asked: DataFrame, window: int) -> DataFrame:
                 found = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), (start + n + window - 1).tolist(), strict=True)]
                 yield _batch((anchor, ids[row + text], start, pa.array(found, pa.binary())), ["anchor", "doc", "first", "piece"])
 
-    return asked.mapInArrow(run, "anchor long, doc long, first long, piece binary")
+    return arrow_map(asked, run, "anchor long, doc long, first long, piece binary")
 
 
 def singles(asked: DataFrame, window: int) -> DataFrame:
@@ -121,9 +121,9 @@ def singles(asked: DataFrame, window: int) -> DataFrame:
                 begin = (np.cumsum(sizes) - sizes)[text] + at
                 found = digests(joined, begin, np.full(len(at), window))
                 second = anchors.mixed(found ^ anchors.rolled(BYTES[np.frombuffer(joined, np.uint8)], window)[begin]) if len(at) else found
-                yield _batch(anchors.packed(found, (second >> np.uint64(32)).astype(np.int64), ids[row + text], at, np.ones(len(at), np.int64), True), NAMES)
+                yield _batch(anchors.packed(found, second.view(np.int64), ids[row + text], at, np.ones(len(at), np.int64), True), NAMES)
 
-    return asked.mapInArrow(run, anchors.ROW)
+    return arrow_map(asked, run, anchors.ROW)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def marked(cuts: DataFrame, window: int) -> DataFrame:
         if held:
             yield resolve(held)
 
-    return dealt.mapInArrow(run, "doc long, first long, n int")
+    return arrow_map(dealt, run, "doc long, first long, n int")
 
 
 def copied(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,4 +290,4 @@ def dedup(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANC
             columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]
             yield pa.record_batch([batch.column(0), *columns], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return joined.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return arrow_map(joined, run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

@@ -28,6 +28,16 @@ def test_substring(request, saved, which):
     assert found(substring_dedup.dedup(docs, saved), "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_repeated_spans(edge, saved):
+    words = {i: brute.words(t) for i, t, _ in rows_of(edge)}
+    found = substring_dedup.repeated_spans(edge, saved).distinct().collect()
+    for r in found:
+        there = words[r.doc][r.start : r.start + r.words]
+        assert r.source < r.doc and len(there) == r.words and there == words[r.source][r.source_start : r.source_start + r.words]
+    # the copy of 3,000 bytes from a long text is one span, not one for each piece
+    assert max(r.words for r in found if r.doc == 9) > 300 and sum(r.doc == 9 for r in found) < 10
+
+
 @pytest.mark.parametrize(("which", "crowd"), [("edge", 10_000), ("edge", 2), ("documents", 10_000), ("nothing", 10_000)])
 def test_suffix(request, saved, which, crowd):
     docs = request.getfixturevalue(which)
