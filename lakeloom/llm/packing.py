@@ -16,8 +16,10 @@ Null and empty texts have the end token alone. Repeated rows are pieces of their
 from __future__ import annotations
 
 import os
+import re
+import struct
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -25,36 +27,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Saved, chunks
+from .common import Saved, arrow_map, chunks
 
 CAPACITY = 4096
-#: Distinct words whose ids a worker remembers at most.
-MEMORY = 500_000
+#: Distinct words, and units of words, whose ids a worker remembers: so many new ones and as many from before.
+MEMORY = 300_000
+#: Letters (ASCII and of Latin-1) and then signs, without an apostrophe: two units of the tokenizer that no rule joins.
+SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
-class Encoder:
-    """Token ids of a text as little-endian bytes, by words at ASCII white space, which no token crosses."""
+class Encoder(dict):
+    """By word, between ASCII white space that no token crosses: its token ids as little-endian bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        memory = self.memory
-        new = {w for words in split for w in words}.difference(memory)
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = {w for words in split for w in words}
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memory[w] = np.array(found.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join(map(memory.__getitem__, words))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
+        self.older_units: dict[bytes, bytes] = {}
+        #: How the tokenizer writes bytes: printable ones as themselves, the others as characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [k for k in range(256) if k not in plain]
+        self.shown = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(others)}
+        probes = (b"Word", "\u00c9t\u00e9s,".encode(), b"plain!!", b"O.")
+        self.direct = all(self._simple(SIMPLE(p)) == self._whole(p) for p in probes)  # else the tokenizer is of another kind
+
+    def _whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _unit(self, unit: bytes) -> bytes:
+        found = self.units.get(unit)
+        if found is None:
+            found = self.older_units.get(unit)
+            if found is None:
+                ids = [t.id for t in self.tokenizer.model.tokenize(unit.decode("latin-1").translate(self.shown))]
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.units) >= MEMORY:
+                self.older_units, self.units = self.units, {}
+            if len(unit) < 100:
+                self.units[unit] = found
+        return found
+
+    def _simple(self, match: re.Match) -> bytes:
+        letters = match[1].lower()
+        if not letters.isascii():
+            letters = letters.decode().lower().encode()
+        return self._unit(letters) + (self._unit(match[2]) if match[2] else b"")
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            match = self.direct and SIMPLE(word)
+            found = self._simple(match) if match else self._whole(word)
+        if len(self) >= MEMORY:
+            self.older = dict(self)
+            self.clear()
+        if len(word) < 100:
+            self[word] = found
+        return found
+
+    def text(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker, whose memory outlives its tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,13 +105,13 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, i
     def run(batches):
         import pyarrow as pa
 
-        encode = Encoder(path)
+        encode = encoder(path).text
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for first, _, texts in chunks(batch, 1, 4_000_000):
                 who, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(encode(texts)):
-                    ids += last
+                for k, text in enumerate(texts):
+                    ids = encode(text) + last
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         who.append(first + k)
@@ -81,7 +123,7 @@ def pieces(docs: DataFrame, path: str, end: int = 1, capacity: int = CAPACITY, i
                 yield pa.record_batch([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     plain = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return plain.mapInArrow(run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(plain, run, f"`{id_col}` long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
