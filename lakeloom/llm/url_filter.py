@@ -73,12 +73,12 @@ def domain_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
 
 def reputations(hosts: DataFrame, z: float) -> DataFrame:
     """(host, mean, low) from (host, domain, suffix, n, k): k of n labelled pages are blocked; all hosts have a row."""
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    top = total.select(((F.coalesce("k", F.lit(0)) + 0.5) / (F.coalesce("n", F.lit(0)) + 1.0)).alias("above"), F.lit(1).alias("all"))
+    total = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("above"))
+    top = None
     for level in LEVELS:
         key = list(LEVELS[: LEVELS.index(level) + 1])
         groups = hosts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        joined = groups.withColumn("all", F.lit(1)).join(F.broadcast(top), "all") if level == "suffix" else groups.join(top, key[:-1])
+        joined = groups.withColumn("above", total.scalar()) if top is None else groups.join(top, key[:-1])
         # Spread between groups, over all groups that have labelled pages: one row
         p = F.col("above")
         spread = joined.where("n > 0").agg(
@@ -86,8 +86,7 @@ def reputations(hosts: DataFrame, z: float) -> DataFrame:
         )
         share = F.col("groups") / F.col("rows")
         rho = F.when(F.coalesce("rows", F.lit(0)) <= F.col("groups"), F.lit(0.5)).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.01), (F.col("s") / F.col("rows") - share) / (1 - share))))
-        strength = spread.select((1 / rho - 1).alias("m"), F.lit(1).alias("all"))
-        joined = joined.drop("all").withColumn("all", F.lit(1)).join(F.broadcast(strength), "all")  # one row on the right
+        joined = joined.withColumn("m", spread.select((1 / rho - 1).alias("m")).scalar())
         a, b = F.col("k") + F.col("m") * p, F.col("n") - F.col("k") + F.col("m") * (1 - p)
         top = joined.select(*key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("above"))
     a, b, mean = F.col("a"), F.col("b"), F.col("above")
