@@ -42,7 +42,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_pages(table(spark, sf_dir, "pages"))
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), Saved(spark, "op7"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import Saved, ascii_lower
 
 
 @dataclass(frozen=True)
@@ -71,14 +71,14 @@ def domain_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
     return F.when(F.substring_index(host, ".", -2).isin(*two), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
-def reputations(hosts: DataFrame, z: float) -> DataFrame:
+def reputations(hosts: DataFrame, saved: Saved, z: float) -> DataFrame:
     """(host, mean, low) from (host, domain, suffix, n, k): k of n labelled pages are blocked; all hosts have a row."""
     total = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("above"))
     top = None
     for level in LEVELS:
         key = list(LEVELS[: LEVELS.index(level) + 1])
         groups = hosts.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        joined = groups.withColumn("above", total.scalar()) if top is None else groups.join(top, key[:-1])
+        joined = groups.withColumn("above", total.scalar()) if top is None else groups.join(top.select(*key[:-1], "above"), key[:-1])
         # Spread between groups, over all groups that have labelled pages: one row
         p = F.col("above")
         spread = joined.where("n > 0").agg(
@@ -88,12 +88,12 @@ def reputations(hosts: DataFrame, z: float) -> DataFrame:
         rho = F.when(F.coalesce("rows", F.lit(0)) <= F.col("groups"), F.lit(0.5)).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.01), (F.col("s") / F.col("rows") - share) / (1 - share))))
         joined = joined.withColumn("m", spread.select((1 / rho - 1).alias("m")).scalar())
         a, b = F.col("k") + F.col("m") * p, F.col("n") - F.col("k") + F.col("m") * (1 - p)
-        top = joined.select(*key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("above"))
+        top = saved.put(joined.select(*key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("above")), level)  # each level is used twice
     a, b, mean = F.col("a"), F.col("b"), F.col("above")
     return top.select("host", mean.alias("mean"), (mean - z * F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))).alias("low"))
 
 
-def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = 1.0, most: float = 0.5) -> DataFrame:
+def judge_pages(pages: DataFrame, saved: Saved, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = 1.0, most: float = 0.5) -> DataFrame:
     """One row for each row of pages: id, host, path, rule (or null), verdict ("allow" or "block")."""
     page = pages.select(F.col(id_col), F.col(url_col).alias("_url")).select(id_col, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     page = page.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
@@ -104,6 +104,6 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     page = page.select("*", (by_rule if by_rule is not None else F.lit(None).cast("string")).alias("_said"))
     counts = page.groupBy("host").agg(F.count("_said").alias("n"), F.count(F.when(F.col("_said") == "block", 1)).alias("k"))
     hosts = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
-    known = reputations(hosts, z).select("host", (F.col("low") > most).alias("_bad"))
+    known = reputations(saved.put(hosts, "hosts"), saved, z).select("host", (F.col("low") > most).alias("_bad"))
     judged = page.join(known, "host", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("_said", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"))

@@ -147,19 +147,19 @@ def test_encoder():
         assert e[w.encode()] == e._whole(w.encode()), w
 
 
-def test_urls(spark):
+def test_urls(spark, saved):
     urls = ["https://A.example.ORG/es/1?x", "http://example.org/en/12", "https://example.org/en/2", "https://x.com/fr/", "https://x.com/de/a#b", "https://x.com?de/", "ftp://com/de/", "notcom/de/", "https://notexample.org/es/", "http://b.com:80/de/", None, "", "://", "HTTP://X.NET"]
     bad = [f"https://bad.shop.com/de/{k}" for k in range(60)] + ["https://bad.shop.com/en/1", "https://other.shop.com/en/1"]
     good = [f"https://fine.com/fr/{k}" for k in range(60)] + ["https://fine.com/en/1"]
     pages = spark.createDataFrame([(k, u, "h") for k, u in enumerate(urls + bad + good)], "page_id long, url string, host string").withColumn("_said", F.lit(1)).withColumn("domain", F.lit(1))
-    got = {r.page_id: r for r in url_filter.judge_pages(pages).collect()}
+    got = {r.page_id: r for r in url_filter.judge_pages(pages, saved).collect()}
     assert [(got[k].host, got[k].path) for k in (0, 5, 9, 10, 12, 13)] == [("a.example.org", "/es/1"), ("x.com", ""), ("b.com:80", "/de/"), ("", ""), ("", ""), ("X.NET".lower(), "")]
     assert [got[k].rule for k in range(14)] == ["example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, "com/de/", None, "org/", None, None, None, None, None]
     verdict = {r.path + r.host: r.verdict for r in got.values()}
     assert verdict["/en/1bad.shop.com"] == "block" and verdict["/en/1fine.com"] == "allow"
     assert all(r.verdict == ("block" if r.rule in ("example.org/es/", "example.org/en/1", "com/de/") else "allow") for r in got.values() if r.rule)
-    assert url_filter.judge_pages(pages.limit(0)).count() == 0
-    assert url_filter.judge_pages(pages.union(pages)).count() == 2 * pages.count()
+    assert url_filter.judge_pages(pages.limit(0), saved).count() == 0
+    assert url_filter.judge_pages(pages.union(pages), saved).count() == 2 * pages.count()
 
 
 def test_toxicity(spark):
