@@ -19,15 +19,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, components
+from .common import Saved, arrow_map, components
 
 PASSES, NEAR, BITS = 16, 96, 48
 ORDER = ["pass", "label", "dim", "bits", "class"]
 SORTED = "pass int, label long, dim int, bits long, class long, vec binary"
 
 
+def width(vectors: DataFrame, vec_col: str) -> type:
+    return np.float32 if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else np.float64
+
+
 def plain(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(id, label, vec): vec holds the components as doubles, or is null for what links with nothing."""
+    """(id, label, vec): vec holds the components as they are kept (4 or 8 bytes each), or is null for what links with
+    nothing."""
+    kind = width(vectors, vec_col)
 
     def run(batches):
         import pyarrow as pa
@@ -36,14 +42,14 @@ def plain(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
             out = []
             for labelled, v in zip(batch.column(1).is_valid().to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = np.array(v, np.float64) if labelled and v else np.zeros(0)  # None becomes NaN
-                out.append((x + 0.0).tobytes() if x.any() and np.isfinite(x).all() else None)
+                out.append((x + 0.0).astype(kind).tobytes() if x.any() and np.isfinite(x).all() else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "vec"])
 
     some = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return some.mapInArrow(run, "id long, label long, vec binary")
+    return arrow_map(some, run, "id long, label long, vec binary")
 
 
-def projected(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+def projected(classes: DataFrame, passes: int, seed: int, kind: type) -> DataFrame:
     """A row for each class and pass with its bits."""
 
     def run(batches):
@@ -51,28 +57,28 @@ def projected(classes: DataFrame, passes: int, seed: int) -> DataFrame:
 
         directions: dict[int, np.ndarray] = {}
         weights = np.int64(1) << np.arange(BITS - 1, -1, -1)
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             vecs = batch.column(2).to_pylist()
-            dims = np.array([len(v) // 8 for v in vecs])
+            dims = np.array([len(v) // np.dtype(kind).itemsize for v in vecs])
             for dim in np.unique(dims).tolist():
                 if dim not in directions:
                     directions[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, passes * BITS))
                 at = np.nonzero(dims == dim)[0]
-                signs = np.frombuffer(b"".join(vecs[k] for k in at), np.float64).reshape(-1, dim) @ directions[dim] > 0
+                signs = np.frombuffer(b"".join(vecs[k] for k in at), kind).reshape(-1, dim).astype(np.float64) @ directions[dim] > 0
                 bits = signs.reshape(len(at), passes, BITS) @ weights
                 rows = batch.take(pa.array(at))
                 for p in range(passes):
                     n = len(at)
                     yield pa.record_batch([pa.array(np.full(n, p, np.int32)), rows.column(1), pa.array(np.full(n, dim, np.int32)), pa.array(bits[:, p]), rows.column(0), rows.column(2)], names=[*ORDER, "vec"])
 
-    return classes.select("class", "label", "vec").mapInArrow(run, SORTED)
+    return arrow_map(classes.select("class", "label", "vec"), run, SORTED)
 
 
 class Neighbours:
     """Takes rows in their order and gives pairs of classes at most ``near`` apart with a cosine that is high enough."""
 
-    def __init__(self, near: int, least: float):
-        self.near, self.least = near, least
+    def __init__(self, near: int, least: float, kind: type):
+        self.near, self.least, self.kind = near, least, kind
         self.group, self.classes, self.vecs = [np.zeros(0, np.int64)] * 3, np.zeros(0, np.int64), []
 
     def __call__(self, group: list[np.ndarray], classes: np.ndarray, vecs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +90,7 @@ class Neighbours:
         new[1:] = np.any([x[1:] != x[:-1] for x in group], 0)
         edges = [*np.nonzero(new)[0].tolist(), len(classes)]
         for start, end in zip(edges[:-1], edges[1:], strict=True):
-            x = np.frombuffer(b"".join(vecs[start:end]), np.float64).reshape(end - start, -1)
+            x = np.frombuffer(b"".join(vecs[start:end]), self.kind).reshape(end - start, -1).astype(np.float64)
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             for at in range(max(0, old - self.near - start), end - start, 512):
                 to = min(at + 512 + self.near, end - start)
@@ -109,7 +115,7 @@ def _pairs(a, b):
 FOUND = "a long, b long, cut int, place int, pass int, label long, dim int, vec binary"
 
 
-def compared(rows: DataFrame, near: int, least: float) -> DataFrame:
+def compared(rows: DataFrame, near: int, least: float, kind: type) -> DataFrame:
     """FOUND: pairs (a, b) of each range of sorted rows; and the rows beside its cuts, with cut and place, in a."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
@@ -119,7 +125,7 @@ def compared(rows: DataFrame, near: int, least: float) -> DataFrame:
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        look, count = Neighbours(near, least), 0
+        look, count = Neighbours(near, least, kind), 0
         names = [x.split()[0] for x in FOUND.split(", ")]
         last = None
 
@@ -141,17 +147,17 @@ def compared(rows: DataFrame, near: int, least: float) -> DataFrame:
             n = min(near, last.num_rows)
             yield beside(last.slice(last.num_rows - n), here, near - n)
 
-    return dealt.mapInArrow(run, FOUND)
+    return arrow_map(dealt, run, FOUND)
 
 
-def across(found: DataFrame, near: int, least: float) -> DataFrame:
+def across(found: DataFrame, near: int, least: float, kind: type) -> DataFrame:
     """(a, b): pairs of rows on the two sides of a cut."""
     sides = found.where("cut >= 0").select("cut", "place", "pass", "label", "dim", "a", "vec").repartition("cut").sortWithinPartitions("cut", "place")
 
     def run(batches):
         import pyarrow as pa
 
-        look = Neighbours(near, least)
+        look = Neighbours(near, least, kind)
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3, 4)]
             a, b = look_in(look, columns, batch)
@@ -162,16 +168,17 @@ def across(found: DataFrame, near: int, least: float) -> DataFrame:
             look.group = [np.zeros(0, np.int64)] * 4
         return look(columns, batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_pylist())
 
-    return sides.mapInArrow(run, "a long, b long")
+    return arrow_map(sides, run, "a long, b long")
 
 
 def dedup(vectors: DataFrame, saved: Saved, least: float = 0.93, passes: int = PASSES, near: int = NEAR, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """For each row of vectors: id, n_links, component_id, kept."""
+    kind = width(vectors, vec_col)
     rows = saved.put(plain(vectors, id_col, vec_col, label_col), "plain")
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("m"))
     classes = saved.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    found = saved.put(compared(projected(classes, passes, seed), near, least), "compared")
-    pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least)).distinct(), "pairs")
+    found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind), "compared")
+    pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least, kind)).distinct(), "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("class", "other")
     sizes = classes.select(F.col("class").alias("other"), F.col("m").alias("n"))
     degree = both.join(sizes, "other").groupBy("class").agg(F.sum("n").alias("others"))
