@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.aliases import with_aliases
 from ..operators import joins, windows
-from . import sensor, ssb, surface, tpch
+from . import lake_queries, sensor, ssb, surface, tpch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -93,4 +93,4 @@ FRAMES = {"join_asof": (asof, ASOF), "join_range": (in_range, RANGE), "join_salt
 def everything() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     found = {k: (sql_query(t), t) for k, t in (tpch.TPCH | ssb.SSB | surface.BOTH).items()}
     found |= {k: (sql_query(s), d) for k, (s, d) in (sensor.texts() | surface.EACH).items()}
-    return found | FRAMES
+    return found | FRAMES | lake_queries.QUERIES
