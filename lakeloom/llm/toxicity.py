@@ -21,13 +21,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import arrow_map, chunks
 
 BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 15, 8, 3, 5
 #: Labelled rows to train on, at most: those whose ids have the smallest hashes.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Words that a worker remembers at most.
-MEMORY = 400_000
+MEMORY = 250_000
 EDGES = b".,;:!?\"'()[]{}*#%&$|<>-_"
 #: What averages are multiplied by before the softmax, so that rare toxic words can show.
 SCALE = 100.0
@@ -74,16 +74,21 @@ class Model:
     bias: float
 
 
-def train(bags: list[Bag], label: np.ndarray, steps: int = 320, rate: float = 0.003, decay: float = 0.3, batch: int = 128, seed: int = 7) -> Model:
+def train(bags: list[Bag], label: np.ndarray, steps: int = 320, rate: float = 0.003, decay: float = 1.0, batch: int = 128, seed: int = 7, deviations: float = 2.0) -> Model:
     """Adam on the cross-entropy of the softmax, table and weights together; both classes weigh the same in total.
-    Grams of few texts are left out. One class alone, or no rows, gives a model that finds nothing."""
+
+    Grams of few texts are left out, and those whose share of toxic texts is within ``deviations`` standard deviations
+    of the share of all: noise that a small sample would be learned by heart with. One class alone, or no rows, gives a
+    model that finds nothing."""
     if not len(bags) or label.min() == label.max():
         return Model(np.zeros(BUCKETS), np.ones(BUCKETS, bool), -12.0)
     rng = np.random.default_rng(seed)
-    texts = np.zeros(BUCKETS, np.int64)
-    for ids, _ in bags:
+    texts, toxic, share = np.zeros(BUCKETS), np.zeros(BUCKETS), label.mean()
+    for (ids, _), own in zip(bags, label, strict=True):
         texts[ids] += 1
-    known = texts >= min(20, 2 + len(bags) // 500)
+        toxic[ids] += own
+    known = (texts >= min(20, 2 + len(bags) // 500)) & (np.abs(toxic - texts * share) >= deviations * np.sqrt(texts * share * (1 - share)))
+    bags = [(ids[known[ids]], counts[known[ids]]) for ids, counts in bags]
     params = [rng.normal(0, 0.01, (BUCKETS, WIDTH)), rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)]
     params = [x.astype(np.float32) for x in params]
     first, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
@@ -94,7 +99,7 @@ def train(bags: list[Bag], label: np.ndarray, steps: int = 320, rate: float = 0.
         for at in range(0, len(order), batch):
             who = order[at : at + batch]
             ids = np.concatenate([bags[k][0] for k in who]).astype(np.int64)
-            share = np.concatenate([bags[k][1] for k in who]) * known[ids]
+            share = np.concatenate([bags[k][1] for k in who])
             row = np.repeat(np.arange(len(who)), [len(bags[k][0]) for k in who])
             total = np.bincount(row, weights=share, minlength=len(who))
             share = share * (SCALE / np.maximum(total, 1))[row]
@@ -131,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             columns = [pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1)]
             yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["id", "toxic", "grams", "counts"])
 
-    rows = sorted(map(tuple, chosen.mapInArrow(run, "id long, toxic int, grams binary, counts binary").collect()), key=lambda r: r[0])
+    rows = sorted(map(tuple, arrow_map(chosen, run, "id long, toxic int, grams binary, counts binary").collect()), key=lambda r: r[0])
     bags = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint16)) for r in rows]
     return train(bags, np.array([r[1] for r in rows], np.int64))
 
@@ -173,4 +178,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([batch.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return plain.mapInArrow(run, f"`{id_col}` long, score double")
+    return arrow_map(plain, run, f"`{id_col}` long, score double")
