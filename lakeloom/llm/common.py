@@ -36,10 +36,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows that go to a Python worker at a time where the session says nothing else: texts are long.
+BATCH, DEFAULT_BATCH, BATCH_CONF = 2_000, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with a function of this package, which the executors get if they lack it."""
+    """mapInArrow with a function of this package, which the executors get if they lack it. Batches are small, and a
+    worker gives free memory back after each task: it waits beside an executor of a bounded size."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    if df.sparkSession.conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 class Saved:
