@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -20,7 +22,10 @@ EVENTS = {"event_id": "int64", "ts": "timestamp", "user_id": "int64", "event_typ
 
 def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakeloom-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="lakeloom-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/lake-{uuid.uuid4().hex}"
 
 
