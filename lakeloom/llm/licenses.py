@@ -64,8 +64,13 @@ def phrase_places(spaced: Column, n_words: Column, phrase: str) -> tuple[Column,
     return places, F.when(places > 0, first), F.when(places > 0, last)
 
 
-def scan(docs: DataFrame, saved: Saved, templates=TEMPLATES, base=BASE, id_col: str = "doc_id", text_col: str = "text", rarest: int = 4) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+def scan(docs: DataFrame, saved: Saved, templates=TEMPLATES, base=BASE, id_col: str = "doc_id", text_col: str = "text", rarest: int = 4, anchors=ANCHORS) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    Templates are looked for in files that hold an anchor; each key phrase must have one."""
+    for t in templates:
+        if not set(t.words[slice(*t.key)]) & set(anchors):
+            raise ValueError(f"no anchor in the key phrase of a template of {t.label}")
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.words} | {w for p in base for w in p.split()})
     known = F.array(*map(F.lit, vocabulary))
@@ -77,7 +82,7 @@ def scan(docs: DataFrame, saved: Saved, templates=TEMPLATES, base=BASE, id_col:
     d = d.select(id_col, "_w", lead.alias("_lead"), tail.alias("_tail"), (F.size("_w") - lead - tail).cast("long").alias("n_words"), F.array_intersect("_w", known).alias("_known"))
     has = lambda w: F.array_contains("_known", w)
     marked = None
-    for anchor in (*ANCHORS, *(w for p in base for w in p.split()[-1:])):
+    for anchor in anchors:
         marked = has(anchor) if marked is None else marked | has(anchor)
     holds = None
     for phrase in base:

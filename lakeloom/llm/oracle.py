@@ -29,7 +29,7 @@ _PHRASES = ", ".join(f"({k}, {i}, '{w}', {len(p.split())}, '{label}')" for k, (p
 _POSTINGS = ", ".join(
     f"({k}, '{t.label}', {i}, '{w}', {len(t.words)}, {str(t.key[0] <= i < t.key[1]).lower()}, {t.key[1] - t.key[0]})" for k, t in enumerate(TEMPLATES) for i, w in enumerate(t.words)
 )
-_MARKS = ", ".join(f"'{w}'" for w in (*ANCHORS, *(p.split()[-1] for p in BASE)))
+_MARKS = ", ".join(f"'{w}'" for w in ANCHORS)
 OP2 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 o AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM w),
