@@ -111,7 +111,7 @@ def scan(docs: DataFrame, saved: Saved, templates=TEMPLATES, base=BASE, id_col:
     # How rare each licence word is: a row for each word of the vocabulary at most
     seen = d.select(F.explode("_known").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     n = d.agg(F.count("*").alias("n")).scalar()
-    idf = F.broadcast(saved.put(seen.select("w", F.log(n / F.col("df")).alias("idf")), "idf"))
+    idf = F.broadcast(saved.put(seen.select("w", F.log(n / F.col("df")).alias("idf")).repartition(1), "idf"))
 
     postings = spark.createDataFrame(
         [(k, t.label, i, w, len(t.words), t.key[0] <= i < t.key[1], t.key[1] - t.key[0]) for k, t in enumerate(templates) for i, w in enumerate(t.words)],

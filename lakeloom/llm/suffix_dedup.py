@@ -259,7 +259,7 @@ def copied(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = AN
     indexed = saved.put(marked(cut(part(False), window), window), "marked")
     columns = ["doc", "first", "n"]
     all_of = found.where("not open").select(columns).union(indexed.select(columns))
-    if saved.put(crowds, "crowds").isEmpty():
+    if crowds.isEmpty():
         return all_of
     each = anchors.judged(singles(part(True), window), saved, "singles", True)
     return all_of.union(each.where("not open").select(columns))
