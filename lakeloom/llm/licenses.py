@@ -1,9 +1,10 @@
 """Licence scan: a positional index of rare licence words.
 
 The words of a few licence notices are postings (word, template, position). How rare each of these words is gets counted
-over all texts. Each file's rarest licence words are looked up, postings that agree on where the template would start
-are brought together, and such a place counts if the template's mandatory key phrase stands there word by word. Base
-phrases are found independently of templates and of rarity.
+over all texts. The rarest words of each template's mandatory key phrase are looked up in each file, postings that agree
+on where the template would start are brought together, and such a place counts if the key phrase stands there word by
+word. So every notice whose key phrase stands in a file is found, however many others stand beside it. Base phrases are
+found independently of templates and of rarity.
 
 Null texts have no words. A text with no licence word gets empty labels and score 0. Repeated rows each give a row.
 """
@@ -119,11 +120,12 @@ def scan(docs: DataFrame, saved: Saved, templates=TEMPLATES, base=BASE, id_col:
     ) if templates else spark.createDataFrame([], "t int, label string, i int, w string, n int, key boolean, n_key int")
     postings = F.broadcast(postings)
     places = d.where("size(_places) > 0").select("_row", F.explode("_places").alias("x")).select("_row", "x.p", "x.w")
-    # The rarest words of each file: at most one row for each word of the vocabulary to sort
-    own = d.where("size(_places) > 0").select("_row", F.explode("_known").alias("w")).join(idf, "w")
-    own = own.withColumn("k", F.row_number().over(W.partitionBy("_row").orderBy(F.desc("idf"), "w"))).where(F.col("k") <= rarest).select("_row", "w")
-    hits = places.join(own, ["_row", "w"]).join(postings, "w").select("_row", "t", (F.col("p") - F.col("i")).alias("start")).groupBy("_row", "t", "start").agg(F.count("*").alias("hits"))
-    starts = hits.where("hits >= 2").select("_row", "t", "start")
+    # Each template's rarest key words: a row for each word of the templates to sort. All of them stand where the phrase
+    # does, so that no other notice in the file can displace them
+    own = postings.where("key").join(idf, "w", "left").withColumn("k", F.row_number().over(W.partitionBy("t").orderBy(F.desc_nulls_first("idf"), "w", "i")))
+    own = F.broadcast(saved.put(own.where(F.col("k") <= rarest).select("t", "i", "w", F.least("n_key", F.lit(rarest)).alias("asked")).coalesce(1), "lookup"))
+    hits = places.join(own, "w").select("_row", "t", "asked", (F.col("p") - F.col("i")).alias("start")).groupBy("_row", "t", "asked", "start").agg(F.count("*").alias("hits"))
+    starts = hits.where("hits = asked").select("_row", "t", "start")
     words_there = starts.join(postings, "t").select("_row", "t", "label", "start", "n", "n_key", "key", (F.col("start") + F.col("i")).alias("p"), "w")
     verified = words_there.join(places, ["_row", "p", "w"]).groupBy("_row", "t", "label", "start", "n", "n_key").agg(F.count("*").alias("same"), F.count(F.when(F.col("key"), 1)).alias("keys"))
     verified = verified.where("keys = n_key").groupBy("_row").agg(F.collect_set("label").alias("_own"), F.max(F.col("same") / F.col("n")).alias("_score"))  # labels: one of each template at most

@@ -32,6 +32,22 @@ def test_license_templates(spark, saved):
     assert got[0] == ("gpl,gpl-3.0", 1.0) and got[1] == ("mit", 1.0) and got[2] == ("", 0.0) and got[3] == ("cc-by,cc-by-nc-4.0", 1.0) and got[4] == ("", 0.0) and got[7] == ("", 0.0)
 
 
+def test_license_pairs(spark, saved):
+    """Two notices in one text, and one among rarer words of others, lose no template."""
+    notices = [" ".join(t.words) for t in licenses.TEMPLATES]
+    texts = [f"{a} . and then {b}" for a in notices for b in notices] + [f"{a} binary forms mozilla hereby conditions isc" for a in notices]
+    docs = spark.createDataFrame(list(enumerate(texts + ["plain words of a license"] * 50)), "doc_id long, text string")
+
+    def stated(text):
+        w = text.replace(".", " ").split()
+        keys = [(t.label, list(t.words[slice(*t.key)])) for t in licenses.TEMPLATES]
+        own = {label for label, key in keys if any(w[k : k + len(key)] == key for k in range(len(w)))}
+        return ",".join(sorted(own | set(filter(None, brute.licenses(text)[4].split(",")))))
+
+    got = {r.doc_id: r.labels for r in licenses.scan(docs, saved).collect()}
+    assert got == {r.doc_id: stated(r.text) for r in docs.collect()}
+
+
 def test_mixing(edge, saved):
     rows = rows_of(edge)
     got = mixing.mix(edge, saved).collect()
