@@ -3,7 +3,10 @@
 In each pass vectors are ordered by label and then by a string of random bits: the signs of projections on random
 directions, one after the other. Vectors with a small angle agree in most signs, so that they often stand near each
 other; each is compared, exactly, with the ``near`` vectors after it. Passes with other directions find what one pass
-parts. Pairs of all passes are united, and components are the connected vectors.
+parts. Pairs of all passes are united, and components are the connected vectors. Windows are bounded, so a dense group
+has more links than they show: the classes of each component are then all compared with each other, in blocks, and
+n_links counts what is found there. Links that no pass finds and no component holds are missed; a pass finds fewer of
+them in a longer order, so there are more passes where a label has very many classes.
 
 Equal vectors of a label are one class from the start, linked to each other, so that a vector with very many copies is
 compared once. The order is cut into ranges by rank, so that labels and bits may be as skewed as they like; the rows
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Saved, arrow_map, components
 
 PASSES, NEAR, BITS = 16, 96, 48
+BLOCK = 1024  # classes of a component that are compared at a time
+MANY, MORE = 4_000_000, 0.21  # beyond so many classes in a label passes grow as this power of them
 ORDER = ["pass", "label", "dim", "bits", "class"]
 SORTED = "pass int, label long, dim int, bits long, class long, vec binary"
 
@@ -171,18 +176,74 @@ def across(found: DataFrame, near: int, least: float, kind: type) -> DataFrame:
     return arrow_map(sides, run, "a long, b long")
 
 
+def counted(classes: DataFrame, roots: DataFrame, least: float, kind: type, block: int = BLOCK) -> DataFrame:
+    """(class, others): for each class of a component the vectors of other classes there with a cosine that is high
+    enough. Rows are dealt to a block of their component by hash; each two blocks meet in one cell."""
+    large = roots.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    members = classes.join(roots, "class").join(F.broadcast(large), "root", "left")
+    members = members.withColumn("g", F.coalesce(F.ceil(F.col("size") / block), F.lit(1))).withColumn("here", F.expr("pmod(xxhash64(class), g)"))
+    members = members.select("root", "class", "m", "vec", "here", F.explode(F.expr("sequence(0L, g - 1)")).alias("there"))
+    cells = members.select("root", F.least("here", "there").alias("i"), F.greatest("here", "there").alias("j"), (F.col("here") > F.col("there")).cast("int").alias("side"), "class", "m", "vec")
+    cells = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+
+    def matrix(vecs):
+        x = np.frombuffer(b"".join(vecs), kind).reshape(len(vecs), -1).astype(np.float64)
+        return x, np.sqrt(np.einsum("ij,ij->i", x, x))
+
+    def compare(parts):
+        side, who, m = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in (3, 4, 5))
+        vecs = [v for p in parts for v in p.column(6).to_pylist()]
+        cut = int(np.searchsorted(side, 1))
+        x, norm = matrix(vecs)
+        m = m.astype(np.float64)
+        if parts[0].column(1)[0] == parts[0].column(2)[0]:
+            close = x @ x.T / np.outer(norm, norm) >= least
+            np.fill_diagonal(close, False)
+            return who, close.astype(np.float64) @ m
+        close = (x[:cut] @ x[cut:].T / np.outer(norm[:cut], norm[cut:]) >= least).astype(np.float64)
+        return who, np.concatenate([close @ m[cut:], m[:cut] @ close])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(out):
+            who, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.record_batch([pa.array(who), pa.array(np.rint(n).astype(np.int64))], names=["class", "others"])
+
+        cell, parts, out, waiting = None, [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            edges = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1).tolist(), len(keys)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if parts and cell != tuple(keys[start]):
+                    out.append(compare(parts))
+                    waiting += len(out[-1][0])
+                    parts = []
+                cell = tuple(keys[start])
+                parts.append(batch.slice(start, end - start))
+            if waiting >= 10_000:
+                yield rows(out)
+                out, waiting = [], 0
+        if parts:
+            yield rows([*out, compare(parts)])
+
+    return arrow_map(cells, run, "class long, others long").groupBy("class").agg(F.sum("others").alias("others"))
+
+
 def dedup(vectors: DataFrame, saved: Saved, least: float = 0.93, passes: int = PASSES, near: int = NEAR, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """For each row of vectors: id, n_links, component_id, kept."""
     kind = width(vectors, vec_col)
     rows = saved.put(plain(vectors, id_col, vec_col, label_col), "plain")
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("m"))
     classes = saved.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    passes = max(passes, int(np.ceil(passes * (most / MANY) ** MORE)))
     found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind), "compared")
     pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least, kind)).distinct(), "pairs")
-    both = pairs.union(pairs.select("b", "a")).toDF("class", "other")
-    sizes = classes.select(F.col("class").alias("other"), F.col("m").alias("n"))
-    degree = both.join(sizes, "other").groupBy("class").agg(F.sum("n").alias("others"))
     roots = saved.put(components(pairs, saved).withColumnRenamed("node", "class"), "roots")
+    degree = counted(classes, roots, least, kind)
     tied = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least_id = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     known = tied.join(least_id, "root").join(degree, "class", "left").select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")

@@ -191,3 +191,17 @@ def test_embeddings(spark, saved):
     assert sum(g[1] for g in got) >= 0.9 * sum(links)
     assert got == want  # so small a table lies in a few windows
     assert embedding_dedup.dedup(df.limit(0), saved).count() == 0
+
+
+def test_dense_group_of_embeddings(spark, saved):
+    """Different near copies, more than all windows together hold, beside others: every link counts."""
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=64) + rng.normal(size=(3000, 64)) * 0.15
+    x = np.concatenate([dense, rng.normal(size=(300, 64))]).astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert want[:3000].min() > 1000
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, saved).collect()}
+    assert [got[k][0] for k in range(len(x))] == want.tolist()
+    assert {got[k][1] for k in range(3000)} == {0} and all(got[k][1] == k for k in range(3000, 3300))
