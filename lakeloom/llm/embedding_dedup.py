@@ -120,9 +120,11 @@ def _pairs(a, b):
 FOUND = "a long, b long, cut int, place int, pass int, label long, dim int, vec binary"
 
 
-def compared(rows: DataFrame, near: int, least: float, kind: type) -> DataFrame:
-    """FOUND: pairs (a, b) of each range of sorted rows; and the rows beside its cuts, with cut and place, in a."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def compared(rows: DataFrame, near: int, least: float, kind: type, total: int | None = None) -> DataFrame:
+    """FOUND: pairs (a, b) of each range of sorted rows; and the rows beside its cuts, with cut and place, in a. Ranges
+    hold several times ``near`` rows each, so that no window reaches over a whole one; total is the count of rows."""
+    total = rows.count() if total is None else total
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (8 * near)))
     dealt = rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER)
 
     def run(batches):
@@ -238,9 +240,9 @@ def dedup(vectors: DataFrame, saved: Saved, least: float = 0.93, passes: int = P
     rows = saved.put(plain(vectors, id_col, vec_col, label_col), "plain")
     classes = rows.where("vec is not null").groupBy("label", "vec").agg(F.min("id").alias("first"), F.count("*").alias("m"))
     classes = saved.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most, total = (x or 0 for x in classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first())
     passes = max(passes, int(np.ceil(passes * (most / MANY) ** MORE)))
-    found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind), "compared")
+    found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind, total * passes), "compared")
     pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least, kind)).distinct(), "pairs")
     roots = saved.put(components(pairs, saved).withColumnRenamed("node", "class"), "roots")
     degree = counted(classes, roots, least, kind)

@@ -205,3 +205,22 @@ def test_dense_group_of_embeddings(spark, saved):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, saved).collect()}
     assert [got[k][0] for k in range(len(x))] == want.tolist()
     assert {got[k][1] for k in range(3000)} == {0} and all(got[k][1] == k for k in range(3000, 3300))
+
+
+def test_windows_reach_over_cuts(spark, saved):
+    """The pairs of a pass are those of one sorted list, whatever the number of shuffle partitions."""
+    x = np.random.default_rng(6).normal(size=(2000, 8))
+    df = spark.createDataFrame([(k, 1, v.tobytes()) for k, v in enumerate(x)], "class long, label long, vec binary")
+    rows = saved.put(embedding_dedup.projected(df, 1, 11, np.float64), "rows")
+    order = [r["class"] for r in rows.orderBy(*embedding_dedup.ORDER).select("class").collect()]
+    unit = (x / np.linalg.norm(x, axis=1)[:, None])[order]
+    close = unit @ unit.T >= 0.6
+    want = sorted(tuple(sorted((order[i], order[j]))) for i in range(2000) for j in range(i + 1, min(i + 97, 2000)) if close[i, j])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        found = saved.put(embedding_dedup.compared(rows, 96, 0.6, np.float64), "found")
+        pairs = found.where("b is not null").select("a", "b").union(embedding_dedup.across(found, 96, 0.6, np.float64)).distinct()
+        assert sorted(tuple(r) for r in pairs.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
