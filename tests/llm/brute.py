@@ -91,6 +91,22 @@ def simhash(rows):
     return sorted((str(rows[k][0]), f"{fps[k]:016x}", rows[root[k]][0]) for k in range(len(rows)))
 
 
+def alike(rows):
+    """By row the smallest row that can be reached over texts whose sets of five-word shingles are alike from 0.8 on."""
+    sets = []
+    for _, t, _ in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+
+    def close(a):
+        for b, s in enumerate(sets):
+            both = len(s & sets[a])
+            if s == sets[a] or 5 * both >= 4 * (len(s) + len(sets[a]) - both):
+                yield b
+
+    return linked(rows, close)
+
+
 def statistics(text):
     text = text or ""
     w, seen, dup = words(text), set(), 0

@@ -129,6 +129,40 @@ def test_simhash_crowds(spark, saved):
         assert brute.linked(values, lambda a, near=near: near[a]) == theirs
 
 
+@pytest.mark.parametrize("which", ["edge", "documents", "nothing", "dense"])
+def test_similar(request, spark, saved, which):
+    if which == "dense":  # near copies of few texts that share a passage: keys hold several components
+        rng = random.Random(6)
+        word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+        shared, rows = [word() for _ in range(60)], []
+        for k in range(240):
+            own = random.Random(k % 4)
+            w = shared + ["".join(own.choice("ghij") for _ in range(4)) for _ in range(40)]
+            for _ in range(rng.choice([0, 1, 2])):
+                w[rng.randrange(100)] = word()
+            rows.append((k, " ".join(w), "s"))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    else:
+        docs = request.getfixturevalue(which)
+    rows = rows_of(docs)
+    root = brute.alike(rows)
+    groups, firsts = {}, {}
+    for k, r in enumerate(root):
+        groups.setdefault(r, set()).add((rows[k][0], rows[k][1]))
+        if rows[k][0] is not None:
+            firsts[r] = min(firsts.get(r, 1 << 60), rows[k][0])
+    found = simhash.similar(docs, saved, block=16).join(docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2")).distinct().withColumnRenamed("doc_id", "_d"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("_d"))).collect()
+    assert len(found) == len(rows)
+    got, first = {}, {}
+    for r in found:
+        got.setdefault(r.component, set()).add((r.doc_id, r.text))
+        if r.first:
+            first.setdefault(r.component, set()).add(r.doc_id)
+    key = lambda g: sorted(map(str, g))
+    assert sorted(map(key, got.values())) == sorted(map(key, groups.values()))
+    assert set().union(set(), *first.values()) - {None} == set(firsts.values()) and all(len(x) == 1 for x in first.values()) and len(first) == len(got)
+
+
 def test_golay():
     near, fours, low, high = simhash.golay()
     x = np.random.default_rng(0).integers(0, 1 << 23, 2000)
