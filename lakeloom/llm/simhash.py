@@ -214,9 +214,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return arrow_map(_texts(docs, id_col, text_col), run, SKETCH)
 
 
+def text_digests(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *text_digests(F.col(text_col)))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
