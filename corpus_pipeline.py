@@ -7,6 +7,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm import mixing, packing, quality, simhash, substring_dedup
@@ -22,13 +23,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose fingerprints are linked one row with the smallest id stays. Rows without an id
-    cannot be named as a group's first and stay as they are."""
+    """Of each group of documents that links of 0.8 and more connect (Jaccard similarity of five-word shingles) one row
+    stays: the smallest id's, of rows that repeat an id the text with the smallest digests, of equal texts of one id the
+    smallest source, language and length. Rows without an id are members like others and come after all ids."""
     docs = docs.select(*COLUMNS)
-    found = simhash.groups(docs, Saved(spark, "near"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).union(docs.where("doc_id is null"))
+    first = simhash.similar(docs, Saved(spark, "near")).where("first").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    texts = docs.select("*", *simhash.text_digests(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    kept = texts.join(first, same, "left_semi")
+    order = W.partitionBy("doc_id", "t1", "t2").orderBy("source", "lang", "n_chars")
+    return kept.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +45,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document has as many rows as the mix takes copies of it, from none to two."""
-    docs = docs.select(*COLUMNS)
-    mixed = mixing.mix(docs, Saved(spark, "mix"))
-    copies = mixed.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_one")).select(*COLUMNS)
+    """A document has as many rows as the mix takes copies of it, from none to two. Each row of docs is judged as a row
+    of its own, with or without an id."""
+    mixed = mixing.mix(docs.select(*COLUMNS), Saved(spark, "mix"), keep=("text", "lang", "n_chars"))
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), copies)).alias("_one")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
