@@ -1,9 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's target is a number of words. With ratio = target / words of the source, every document has floor(ratio)
-certain copies; the fraction that is left is sampled without replacement: documents are ranked by their random odds
-u / (1 - u) over their inclusion odds p / (1 - p), and the first ones are taken until the words are reached. One more
-document closes the gap: the one whose size comes nearest to what is still missing.
+certain copies; the rest is sampled without replacement with unequal probabilities. A document's inclusion probability is
+its weight times a factor that the source has, at most 1; the factor is such that the words to be expected are those that
+are left. Weights that reach 1 give one more certain copy. The others are ranked by their random odds u / (1 - u) over
+their inclusion odds p / (1 - p), and the first ones are taken until the words are reached. One more document closes the
+gap: the one whose size comes nearest to what is still missing.
+
+The weight of a document, unless another one is given, is the number of binary digits of its size: of the documents that
+a source may give, longer ones are likelier, by a factor of some two between a hundred words and ten thousand. Weights
+must be few different numbers: a source's words are summed by weight, and these sums are looked at in one task.
 
 The ranking needs no sorted source: ranks fall into cells, cells are summed, and only the cell in which the target is
 reached is looked at row by row. So a source with a third of all rows is summed like any other.
@@ -48,21 +54,41 @@ def targets(sources: DataFrame, share: float, most: float, weights=WEIGHTS) -> D
     return s.select("source", "source_size", F.least(F.col("source_size") * most, F.coalesce(F.col("w") * F.col("level"), F.col("source_size") * most)).alias("target"))
 
 
+def factors(classes: DataFrame) -> DataFrame:
+    """(source, v, p, sure) from (source, rest, v, words): v is a weight, sure the words of certain documents, p is the inclusion probability of a
+    source's documents of a weight. Weights from the largest one on are certain as long as the factor that the rest
+    would need takes them to 1 or more."""
+    down = W.partitionBy("source").orderBy(F.col("v").desc())
+    before = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    after = F.sum(F.col("words") * F.col("v")).over(down.rowsBetween(0, W.unboundedFollowing))
+    steps = classes.select("*", before.alias("before"), ((F.col("rest") - before) / after).alias("factor"))
+    fits = F.when(F.col("factor") * F.col("v") <= 1, F.struct((-F.col("v")).alias("k"), F.greatest("factor", F.lit(0.0)).alias("factor"), F.col("v").alias("top"), "before"))
+    chosen = F.min(fits).over(W.partitionBy("source"))
+    steps = steps.select("source", "v", "rest", chosen.alias("x"))
+    p = F.when(F.col("rest") <= 0, 0.0).when(F.col("x").isNull() | (F.col("v") > F.col("x.top")), 1.0).otherwise(F.col("x.factor") * F.col("v"))
+    return steps.select("source", "v", p.alias("p"), F.coalesce(F.col("x.before"), F.lit(0)).alias("sure"))
+
+
 def mix(docs: DataFrame, saved: Saved, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", odds_weight: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target and taken (words the mix takes), and ``keep``.
 
-    ``odds_weight`` makes inclusion unequal within a source too: it multiplies the inclusion odds.
+    ``odds_weight``: what inclusion probabilities are in proportion to within a source, in place of the digits of the size.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    plain = docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), (odds_weight if odds_weight is not None else F.lit(1.0)).alias("_v"), uniform(F.col(id_col), seed).alias("_u"), F.monotonically_increasing_id().alias("_row"), *keep)
+    plain = docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), (odds_weight if odds_weight is not None else F.length(F.bin(size))).cast("double").alias("_v"), uniform(F.col(id_col), seed).alias("_u"), F.monotonically_increasing_id().alias("_row"), *keep)
     plain = saved.put(plain, "sizes")  # counted once; the row numbers stay
     wanted = saved.put(targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
     copies = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     wanted = wanted.select("*", F.least(copies, F.lit(int(most))).alias("_copies")).select("*", (F.col("target") - F.col("_copies") * F.col("source_size")).alias("_rest"))
-    wanted = wanted.select("*", F.when(F.col("source_size") > 0, F.col("_rest") / F.col("source_size")).otherwise(0.0).alias("_p"))
+    sums = plain.where("size > 0 and _v > 0").groupBy(F.col("source").alias("_source"), F.col("_v").alias("v")).agg(F.sum("size").alias("words"))
+    classes = sums.join(wanted.select("source", F.col("_rest").alias("rest")), F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
+    chances = saved.put(factors(classes), "factors").select(F.col("source").alias("_s"), F.col("v").alias("_w"), F.col("p").alias("_p"), "sure")
     rows = plain.withColumnRenamed("source", "_source").join(wanted, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_v") * F.col("_p") / (1 - F.col("_p")))
-    rows = rows.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_p") < 1) & (F.col("_v") > 0) & (F.col("size") > 0), odds))
+    rows = rows.join(chances, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_v") == F.col("_w")) & (F.col("size") > 0), "left").drop("_s", "_w")
+    # What is certain needs no rank; the rest of the words is what the others are ranked for
+    rows = rows.withColumn("_rest", F.col("_rest") - F.coalesce("sure", F.lit(0))).withColumn("_copies", F.col("_copies") + (F.coalesce("_p", F.lit(0.0)) >= 1).cast("int"))
+    odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
+    rows = rows.withColumn("_q", F.when((F.col("_p") > 0) & (F.col("_p") < 1), odds))
     rows = rows.withColumn("_cell", F.floor(F.col("_q") / (1 + F.col("_q")) * CELLS))
 
     cells = rows.where("_q is not null").groupBy("source", "_rest", "_cell").agg(F.sum("size").alias("words"))
@@ -78,7 +104,7 @@ def mix(docs: DataFrame, saved: Saved, share: float = 1.5, most: float = 2.0, we
     outside = outside.withColumn("_extra", F.when(F.col("_q").isNotNull() & (F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut"))), 1).otherwise(0))
     rows = saved.put(inside.unionByName(outside).select(id_col, "source", "size", "source_size", "target", "_copies", "_rest", "_q", "_row", "_extra", *keep), "ranked")
 
-    gaps = rows.groupBy("source").agg((F.max("_rest") - F.sum(F.col("size") * F.col("_extra"))).alias("_gap"))
+    gaps = rows.where("_q is not null").groupBy("source").agg((F.max("_rest") - F.sum(F.col("size") * F.col("_extra"))).alias("_gap"))
     near = rows.where("_q is not null and _extra = 0").withColumnRenamed("source", "_source").join(gaps, F.col("_source").eqNullSafe(F.col("source"))).where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
     last = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("off"), "_q", F.col(id_col).alias("_id"), "_row")).alias("x"))
     last = last.select(F.col("source").alias("_source"), F.col("x._row").alias("_last"))

@@ -63,9 +63,16 @@ l AS (SELECT *, source_size * 2.0::DOUBLE / w AS "full",
   / sum(w) OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce(w * (SELECT arg_min(level, "full") FROM l WHERE level <= "full"), source_size * 2.0::DOUBLE)) AS target FROM l),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS copies FROM t),
-p AS (SELECT *, target - copies * source_size AS rest, CASE WHEN source_size > 0 THEN (target - copies * source_size) / source_size ELSE 0 END AS p FROM c),
-q AS (SELECT d.doc_id, d.size, d.source, p.source_size, p.target, p.copies, p.rest,
-  CASE WHEN p > 0 AND p < 1 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+p AS (SELECT *, target - copies * source_size AS rest FROM c),
+k AS (SELECT p.source, CAST(length(bin(size)) AS DOUBLE) AS v, any_value(rest) AS rest, sum(size) AS words FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE size > 0 GROUP BY p.source, length(bin(size))),
+i AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(words * v) OVER (PARTITION BY source ORDER BY v DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM k),
+y AS (SELECT source, max(v) AS top, arg_max(greatest((rest - before) / after, 0), v) AS factor, arg_max(before, v) AS sure FROM i WHERE (rest - before) / after * v <= 1 GROUP BY source),
+o AS (SELECT d.doc_id, d.size, d.source, d.u, p.source_size, p.target, p.copies, p.rest - coalesce(y.sure, 0) AS rest,
+  CASE WHEN size = 0 OR p.rest <= 0 THEN 0 WHEN y.top IS NULL OR length(bin(size)) > y.top THEN 1 ELSE y.factor * CAST(length(bin(size)) AS DOUBLE) END AS p
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN y ON d.source IS NOT DISTINCT FROM y.source),
+q AS (SELECT doc_id, size, source, source_size, target, copies + CASE WHEN p >= 1 THEN 1 ELSE 0 END AS copies, rest,
+  CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM o),
 x AS (SELECT *, CASE WHEN q IS NOT NULL AND sum(size) FILTER (WHERE q IS NOT NULL) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS extra FROM q),
 g AS (SELECT source, max(rest) - sum(size * extra) AS gap FROM x GROUP BY source),
 m AS (SELECT x.source, min(struct_pack(o := abs(size - gap), q := q, i := doc_id)) AS b FROM x JOIN g ON x.source IS NOT DISTINCT FROM g.source

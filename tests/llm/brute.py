@@ -159,11 +159,20 @@ def mixed(rows):
         ratio = target[s] / sizes[s] if sizes[s] else 0.0
         copies = min(int(ratio), 2)
         rest = target[s] - copies * sizes[s]
-        p = rest / sizes[s] if sizes[s] else 0.0
-        extra = set()
-        if 0 < p < 1:
+        digits = {i: len(f"{size[i]:b}") for i in ids if size[i]}
+        factor, sure = 0.0, set()
+        while rest > 0 and len(sure) < len(digits):  # what would be likelier than certain is certain
+            factor = (rest - sum(size[i] for i in sure)) / sum(size[i] * digits[i] for i in digits if i not in sure)
+            top = max(digits[i] for i in digits if i not in sure)
+            if factor * top <= 1:
+                break
+            sure |= {i for i in digits if digits[i] == top}
+        rest -= sum(size[i] for i in sure)
+        extra = set(sure)
+        if rest > 0:
             u = {i: (int(hashlib.md5(f"{i}/mix".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48) for i in ids}
-            rank = sorted((i for i in ids if size[i]), key=lambda i: ((u[i] / (1 - u[i])) / (p / (1 - p)), i))
+            p = {i: factor * digits[i] for i in digits if i not in sure}
+            rank = sorted(p, key=lambda i: ((u[i] / (1 - u[i])) / (p[i] / (1 - p[i])) if p[i] < 1 else 0.0, i))
             had = 0
             for i in rank:
                 if had + size[i] > rest:

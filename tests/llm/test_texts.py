@@ -80,6 +80,23 @@ def test_mixing_unequal(spark, saved):
     assert taken(1, "y") > 2 * taken(0, "y") and sum(r.taken for r in rows) == pytest.approx(6000, abs=6)
 
 
+def test_mixing_weights(spark, saved):
+    """Longer documents are likelier, by the digits of their sizes; the words of each kind are as expected."""
+    rng = random.Random(3)
+    sizes = [rng.choice([3, 60, 1000]) for _ in range(6000)]
+    docs = spark.createDataFrame([(k, "w " * n, "x" if k % 3 else "y") for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, saved, share=0.4, weights=(1.0,)).where("source = 'x'").collect()
+    target, digits = got[0].target, {3: 2, 60: 6, 1000: 10}
+    words = {n: sum(r["size"] for r in got if r["size"] == n) for n in digits}
+    factor = target / sum(words[n] * digits[n] for n in digits)
+    assert sum(r.taken for r in got) == pytest.approx(target, abs=500)
+    for n in digits:
+        share = sum(r.taken for r in got if r["size"] == n) / words[n]
+        assert share == pytest.approx(factor * digits[n], abs=0.06) and share < 1
+    certain = mixing.mix(docs.withColumn("source", F.lit("x")), saved, share=0.98, weights=(1.0,)).collect()
+    assert sum(r.taken for r in certain if r["size"] < 1000) > 0 and all(r.taken == 1000 for r in certain if r["size"] == 1000)  # their chance would be over one
+
+
 @pytest.mark.parametrize("which", ["edge", "documents", "nothing"])
 def test_statistics(request, which):
     docs = request.getfixturevalue(which)
