@@ -6,7 +6,9 @@ on where the template would start are brought together, and such a place counts
 word. So every notice whose key phrase stands in a file is found, however many others stand beside it. Base phrases are
 found independently of templates and of rarity.
 
-Null texts have no words. A text with no licence word gets empty labels and score 0. Repeated rows each give a row.
+Null texts have no words. A text with no licence word gets empty labels and score 0. Repeated rows each give a row, an
+empty table none. Texts of any length are looked at as a whole. Of templates that tie all labels count; the score is the
+largest share of a template's words that stand at their places. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -50,9 +52,25 @@ TEMPLATES = (
     Template.of("bsd", "redistribution and use in", "source and binary forms with or without modification are permitted", "provided that the following conditions are met"),
     Template.of("mpl-2.0", "this source code form is subject to the terms of the", "mozilla public license v 2 0", ""),
     Template.of("isc", "permission to use copy modify", "and or distribute this software for any purpose with or without fee is hereby granted", ""),
+    Template.of("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the", "gnu general public license as published by the free software foundation either version 3 of the license", "or at your option any later version"),
+    Template.of("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the", "gnu general public license as published by the free software foundation either version 2 of the license", "or at your option any later version"),
+    Template.of("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the", "gnu lesser general public license as published by the free software foundation", "either version"),
+    Template.of("agpl", "this program is free software you can redistribute it and or modify it under the terms of the", "gnu affero general public license as published by the free software foundation", "either version 3 of the license"),
+    Template.of("apache-2.0", "licensed under the apache license version 2 0 the license", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at"),
+    Template.of("mit", "including without limitation the rights to use copy modify merge publish", "distribute sublicense and or sell copies of the software", "and to permit persons to whom the software is furnished to do so"),
+    Template.of("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote", "products derived from this software without specific prior written permission", ""),
+    Template.of("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at", ""),
+    Template.of("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the", "software and accompanying documentation covered by this license", "the software to use reproduce display distribute execute and transmit the software"),
+    Template.of("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "arising from the use of this software permission is granted to anyone to use this software for any purpose", "including commercial applications"),
+    Template.of("unlicense", "this is", "free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    Template.of("epl-2.0", "this program and the accompanying materials are made available under the terms of the", "eclipse public license 2 0", "which is available at"),
+    Template.of("cc-by-4.0", "this work is licensed under a", "creative commons attribution 4 0 international license", ""),
+    Template.of("cc-by-sa-4.0", "this work is licensed under a", "creative commons attribution sharealike 4 0 international license", ""),
+    Template.of("cc-by-nc-4.0", "this work is licensed under a", "creative commons attribution noncommercial 4 0 international license", ""),
+    Template.of("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", "cc0 1 0 universal", ""),
 )
 #: A file with none of these holds no key phrase; each key phrase has one of them.
-ANCHORS = ("apache", "cc", "distribute", "license", "permitted", "software")
+ANCHORS = ("apache", "cc", "cc0", "distribute", "license", "mpl", "permitted", "software")
 
 
 def phrase_places(spaced: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:

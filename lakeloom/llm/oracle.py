@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .licenses import ANCHORS, BASE, TEMPLATES
+from .licenses import BASE, TEMPLATES
 from .mixing import WEIGHTS
-from .url_filter import RULES, TWO_LABEL_SUFFIXES
+from .url_filter import ADDRESS, RULES, two_labels
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -29,7 +29,6 @@ _PHRASES = ", ".join(f"({k}, {i}, '{w}', {len(p.split())}, '{label}')" for k, (p
 _POSTINGS = ", ".join(
     f"({k}, '{t.label}', {i}, '{w}', {len(t.words)}, {str(t.key[0] <= i < t.key[1]).lower()}, {t.key[1] - t.key[0]})" for k, t in enumerate(TEMPLATES) for i, w in enumerate(t.words)
 )
-_MARKS = ", ".join(f"'{w}'" for w in ANCHORS)
 OP2 = rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 o AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM w),
@@ -37,15 +36,10 @@ ph(k, i, w, n, label) AS (VALUES {_PHRASES}),
 pt(t, label, i, w, n, key, n_key) AS (VALUES {_POSTINGS}),
 b AS (SELECT doc_id, k, o.p - ph.i AS start, any_value(label) AS label FROM o JOIN ph ON o.w = ph.w GROUP BY doc_id, k, o.p - ph.i HAVING count(*) = any_value(n)),
 bs AS (SELECT doc_id, count(*) AS n_base, min(start) AS a, max(start) AS z, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
-v AS (SELECT w FROM ph UNION SELECT w FROM pt),
-kn AS (SELECT DISTINCT doc_id, o.w AS w FROM o JOIN v ON o.w = v.w),
-df AS (SELECT w, count(*) AS df FROM kn GROUP BY w),
-mk AS (SELECT DISTINCT doc_id FROM kn WHERE w IN ({_MARKS})),
-own AS (SELECT doc_id, kn.w AS w FROM kn JOIN df ON kn.w = df.w WHERE doc_id IN (SELECT doc_id FROM mk) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY df.df, kn.w) <= 4),
-hits AS (SELECT o.doc_id, pt.t, o.p - pt.i AS start FROM o JOIN own ON o.doc_id = own.doc_id AND o.w = own.w JOIN pt ON o.w = pt.w GROUP BY o.doc_id, pt.t, o.p - pt.i HAVING count(*) >= 2),
+hits AS (SELECT o.doc_id, pt.t, o.p - pt.i AS start FROM o JOIN pt ON o.w = pt.w AND pt.key GROUP BY o.doc_id, pt.t, o.p - pt.i HAVING count(*) = any_value(pt.n_key)),
 ok AS (SELECT h.doc_id, h.t, h.start, any_value(pt.label) AS label, count(*) / any_value(pt.n) AS share
        FROM hits h JOIN pt ON h.t = pt.t JOIN o ON o.doc_id = h.doc_id AND o.p = h.start + pt.i AND o.w = pt.w
-       GROUP BY h.doc_id, h.t, h.start HAVING count(*) FILTER (WHERE pt.key) = any_value(pt.n_key)),
+       GROUP BY h.doc_id, h.t, h.start),
 me AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS score FROM ok GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(z AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(bs.labels, [])), ',') AS base_labels,
@@ -80,11 +74,11 @@ m AS (SELECT x.source, min(struct_pack(o := abs(size - gap), q := q, i := doc_id
 SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN doc_id = b.i THEN 1 ELSE extra END) AS BIGINT) AS taken
 FROM x LEFT JOIN m ON x.source IS NOT DISTINCT FROM m.source"""
 
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+_TWO, _ADDRESS = f"regexp_matches(name, '{two_labels()}')", f"regexp_matches(name, '{ADDRESS}')"
 
 
 def _tail(n: int) -> str:
-    return f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    return f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
 
 
 def _level(name: str, key: str, above: str, on: str) -> str:
@@ -103,8 +97,9 @@ WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LETTERS}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 f AS (SELECT *, CASE {_CASES} END AS rule FROM h),
 j AS (SELECT *, CASE rule {_SAID} END AS said FROM f),
-c AS (SELECT host, CASE WHEN {_tail(2)} IN ({_TWO}) THEN {_tail(3)} ELSE {_tail(2)} END AS domain, CASE WHEN {_tail(2)} IN ({_TWO}) THEN {_tail(2)} ELSE {_tail(1)} END AS suffix,
-             count(said) AS n, count(*) FILTER (WHERE said = 'block') AS k FROM j GROUP BY host),
+e AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(said) AS n, count(*) FILTER (WHERE said = 'block') AS k FROM j GROUP BY host),
+c AS (SELECT host, n, k, CASE WHEN {_ADDRESS} THEN name WHEN {_TWO} THEN {_tail(3)} ELSE {_tail(2)} END AS domain,
+             CASE WHEN {_ADDRESS} THEN 'address' WHEN {_TWO} THEN {_tail(2)} ELSE {_tail(1)} END AS suffix FROM e),
 a AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS mean FROM c),
 {_level("suffix", "suffix", "a", "true")},
 {_level("domain", "suffix, domain", "suffix_e", "g.suffix = u.suffix")},

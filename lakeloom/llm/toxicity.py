@@ -1,20 +1,25 @@
 """Toxicity: subword bags, averaged and classified.
 
-A text is the bag of its distinct words, a word the bag of its character n-grams and itself, hashed to rows of an
+A text is the bag of its words, repeats included, a word the bag of its character n-grams and itself, hashed to rows of an
 embedding table. The rows of all grams are averaged and a linear softmax tells the class; both are trained jointly, with
 numpy, on a bounded sample of labelled rows. A word that was never seen, a misspelling say, shares most of its grams
 with those that were.
 
 Since all is linear up to the softmax, a word's share of the logit is a number that workers remember by word.
+The driver trains on the bags of the sample: 51 MB on the test tables, and not above 6 bytes for each row of the table
+and text, 1.6 GB, if each of 8,000 texts had all grams.
 
 Null and empty texts have no grams and get the score of the bias alone, which is capped below one half. Rows that repeat
-each give a row; an id that labels repeat counts once, with its largest label. Without labels the score is 0.
+each give a row; an id that labels repeat counts once, with its largest label, whichever of its rows it was given for.
+Without labels the score is near 0. A text of any length counts as a whole; an empty table gives no rows. Other columns
+of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -44,23 +49,32 @@ def grams(word: bytes) -> list[int]:
     return found
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return {w.strip(EDGES) for w in text.lower().split()} - {b""}
+def words_of(text: bytes) -> dict[bytes, int]:
+    """The words without signs at their edges, and how often each is there."""
+    found: dict[bytes, int] = {}
+    for w, n in Counter(text.lower().split()).items():
+        w = w.strip(EDGES)
+        if w:
+            found[w] = found.get(w, 0) + n
+    return found
 
 
 def bag(text: bytes) -> Bag:
-    """Sorted grams of the distinct words and their counts; at most as many as the table has rows."""
+    """Sorted grams of the words and how often each is there; at most as many as the table has rows."""
     counts = np.zeros(BUCKETS, np.int64)
     some: list[int] = []
-    for w in words_of(text):
-        some += grams(w)
+    often: list[int] = []
+    for w, n in words_of(text).items():
+        own = grams(w)
+        some += own
+        often += [n] * len(own)
         if len(some) > 1_000_000:
-            counts += np.bincount(some, minlength=BUCKETS)
-            some = []
+            counts += np.bincount(some, often, BUCKETS).astype(np.int64)
+            some, often = [], []
     if some:
-        counts += np.bincount(some, minlength=BUCKETS)
+        counts += np.bincount(some, often, BUCKETS).astype(np.int64)
     there = np.nonzero(counts)[0]
-    return there.astype(np.uint16), np.minimum(counts[there], 65535).astype(np.uint16)
+    return there.astype(np.uint16), counts[there].astype(np.uint32)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -137,32 +151,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["id", "toxic", "grams", "counts"])
 
     rows = sorted(map(tuple, arrow_map(chosen, run, "id long, toxic int, grams binary, counts binary").collect()), key=lambda r: r[0])
-    bags = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint16)) for r in rows]
+    bags = [(np.frombuffer(r[2], np.uint16), np.frombuffer(r[3], np.uint32)) for r in rows]
     return train(bags, np.array([r[1] for r in rows], np.int64))
 
 
-class Scorer:
-    """Scores texts; remembers each word's part of the logit and its number of grams."""
+class Scorer(dict):
+    """Scores texts a batch at a time: each word's part of the logit and its number of grams are looked up by row, and
+    remembered between batches."""
 
     def __init__(self, model: Model):
-        self.model, self.memory = model, {}
-
-    def __call__(self, text: bytes) -> float:
-        memory, total, n = self.memory, 0.0, 0
-        for w in words_of(text):
-            if (part := memory.get(w)) is None:
-                ids = grams(w)
-                part = (float(self.model.logits[ids].sum()), int(self.model.known[ids].sum()))
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                if len(w) < 100:
-                    memory[w] = part
-            total += part[0]
-            n += part[1]
-        z = self.model.bias + (SCALE * total / n if n else 0.0)
-        if not n:
-            z = min(z, -1.0)  # no evidence is not toxic
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+        self.model, self.bytes, self.parts = model, 0, np.zeros((1 << 12, 2))
+
+    def __missing__(self, word: bytes) -> int:
+        row = len(self)
+        if row == len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        plain = word.strip(EDGES)
+        ids = grams(plain) if plain else []
+        self.parts[row] = self.model.logits[ids].sum(), self.model.known[ids].sum()
+        self.bytes += len(word)
+        self[word] = row
+        return row
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        if len(self) > MEMORY or self.bytes > 64 * MEMORY:
+            self.clear()
+            self.bytes = 0
+        words = [t.lower().split() for t in texts]
+        sizes = [len(w) for w in words]
+        found = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        total, n = (np.bincount(text, self.parts[found, k], len(texts)) for k in (0, 1))
+        z = self.model.bias + SCALE * total / np.maximum(n, 1)
+        z = np.where(n > 0, z, np.minimum(z, -1.0))  # no evidence is not toxic
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,8 +196,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         scorer = Scorer(Model(*shared.value))
         for batch in batches:
-            got = [scorer(t) for _, _, texts in chunks(batch, 1) for t in texts]
-            yield pa.record_batch([batch.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
+            got = [scorer(texts) for _, _, texts in chunks(batch, 1, 1_000_000)]
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate([*got, np.zeros(0)]))], names=[id_col, "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return arrow_map(plain, run, f"`{id_col}` long, score double")

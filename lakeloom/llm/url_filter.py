@@ -5,8 +5,13 @@ to all pages; estimates come down the same way: each level is a beta-binomial wh
 above, with a strength that the spread between its groups gives (method of moments). A page that no rule fits is
 blocked if the lower bound of its host's posterior rate of blocked pages exceeds one half.
 
+The registered domain is the label before the suffix and the suffix. A suffix is one label, or two where a country's
+last label follows a usual second-level name (co.uk, gov.au) or under a few private ones that give names to strangers.
+User names and ports do not count in it; addresses are their own domains, under one suffix.
+
 Null urls and urls without "://" have an empty host and path and share the reputation of the empty host, which is allowed
-unless there is evidence against it. An empty table gives an empty result; repeated rows each give a row.
+unless there is evidence against it. Of rules that tie in length the first by text holds. Urls of any length are read as
+a whole. An empty table gives an empty result; repeated rows each give a row; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,8 +40,10 @@ class Rule:
 
 
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
-#: Suffixes of two labels under which domains are registered; a longer list can be given.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: Names that countries register under, and private suffixes.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+PRIVATE = ("blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com")
+ADDRESS = r"^([0-9.]+|\[.*)$"
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -62,13 +69,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found if found is not None else F.lit(None).cast("string")
 
 
-def suffix_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
-    last = F.substring_index(host, ".", -2)
-    return F.when(last.isin(*two), last).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def two_labels(names=SECOND_LEVEL, private=PRIVATE) -> str:
+    """A pattern for the end of a name whose suffix has two labels."""
+    return rf"(^|\.)(({'|'.join(names)})\.[a-z][a-z]|{'|'.join(p.replace('.', '[.]') for p in private)})$"
+
+
+def suffix_of(name: Column, two: str) -> Column:
+    one = F.substring_index(name, ".", -1)
+    return F.when(name.rlike(ADDRESS), F.lit("address")).otherwise(F.when(name.rlike(two), F.substring_index(name, ".", -2)).otherwise(one))
 
 
-def domain_of(host: Column, two=TWO_LABEL_SUFFIXES) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*two), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_of(name: Column, two: str) -> Column:
+    shorter = F.when(name.rlike(two), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(ADDRESS), name).otherwise(shorter)
 
 
 def reputations(hosts: DataFrame, saved: Saved, z: float) -> DataFrame:
@@ -103,7 +121,8 @@ def judge_pages(pages: DataFrame, saved: Saved, id_col: str = "page_id", url_col
         by_rule = (F if by_rule is None else by_rule).when(F.col("rule") == rule.prefix, F.lit(rule.verdict))
     page = page.select("*", (by_rule if by_rule is not None else F.lit(None).cast("string")).alias("_said"))
     counts = page.groupBy("host").agg(F.count("_said").alias("n"), F.count(F.when(F.col("_said") == "block", 1)).alias("k"))
-    hosts = counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    name, two = name_of(F.col("host")), two_labels()
+    hosts = counts.select("host", domain_of(name, two).alias("domain"), suffix_of(name, two).alias("suffix"), "n", "k")
     known = reputations(saved.put(hosts, "hosts"), saved, z).select("host", (F.col("low") > most).alias("_bad"))
     judged = page.join(known, "host", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("_said", F.when(F.col("_bad"), "block").otherwise("allow")).alias("verdict"))

@@ -195,6 +195,65 @@ def test_urls(spark, saved):
     assert url_filter.judge_pages(pages.union(pages), saved).count() == 2 * pages.count()
 
 
+def reputation(pages, rules, names, private, z=1.0):
+    """By host: the mean and the lower bound of the rate of blocked pages, from pages (host, path)."""
+    said = lambda h, p: next((v for v, r in sorted(((v, r) for v, r in rules), key=lambda x: -len(x[1])) if (h == r.split("/")[0] or h.endswith("." + r.split("/")[0])) and p.startswith("/" + r.split("/", 1)[1])), None)
+
+    def above(host):
+        name = host.rpartition("@")[2].rsplit(":", 1)[0] if host.rpartition(":")[2].isdigit() or host.endswith(":") else host.rpartition("@")[2]
+        parts = name.split(".")
+        if name.replace(".", "").isdigit() or name.startswith("["):
+            return name, "address"
+        two = len(parts) > 1 and (".".join(parts[-2:]) in private or (parts[-2] in names and len(parts[-1]) == 2 and parts[-1].isalpha()))
+        return ".".join(parts[-3 if two else -2 :]), ".".join(parts[-2 if two else -1 :])
+
+    counts = {}
+    for h, p in pages:
+        v = said(h, p)
+        n, k = counts.get(h, (0, 0))
+        counts[h] = (n + (v is not None), k + (v == "block"))
+    total = (sum(k for _, k in counts.values()) + 0.5) / (sum(n for n, _ in counts.values()) + 1.0)
+    levels = [lambda h: (above(h)[1],), lambda h: (above(h)[1], above(h)[0]), lambda h: (above(h)[1], above(h)[0], h)]
+    before = {(): total}
+    for level in levels:
+        groups = {}
+        for h, (n, k) in counts.items():
+            a, b = groups.get(level(h), (0, 0))
+            groups[level(h)] = (a + n, b + k)
+        seen = [(n, k, before[key[:-1]]) for key, (n, k) in groups.items() if n]
+        rows, many = sum(n for n, _, _ in seen), len(seen)
+        rho = 0.5
+        if rows > many:
+            spread = sum(n * (k / n - p) ** 2 / (p * (1 - p)) for n, k, p in seen)
+            rho = min(0.99, max(0.01, (spread / rows - many / rows) / (1 - many / rows)))
+        m = 1 / rho - 1
+        out = {}
+        for key, (n, k) in groups.items():
+            p = before[key[:-1]]
+            a, b = k + m * p, n - k + m * (1 - p)
+            out[key] = (a / (a + b), a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5)
+        before = {key: v[0] for key, v in out.items()}
+    return {h: out[levels[2](h)] for h in counts}
+
+
+def test_reputation_matches_plain(spark, saved):
+    """Hosts with many, few and no judged pages under several suffixes; some are blocked by the bound alone."""
+    rng = random.Random(2)
+    domains = ["a.com", "b.com", "c.example.org", "d.co.uk", "e.gov.au", "f.github.io", "10.0.0.1", "g.com:8080", "me@h.com", "co.uk", "x"]
+    pages = []
+    for d in domains:
+        for sub in ("", "www.", "m.", "n."):
+            h, bad, n = sub + d, rng.random(), rng.choice([0, 2, 10, 60])
+            pages += [(h, "/" + ("de/" if rng.random() < bad else "fr/") + str(k)) for k in range(n)] + [(h, "/en/9"), (h, "/es/1")]
+    found = url_filter.judge_pages(spark.createDataFrame([(k, f"https://{h}{p}") for k, (h, p) in enumerate(pages)], "page_id long, url string"), saved).collect()
+    rules = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+    low = reputation(pages, rules, url_filter.SECOND_LEVEL, url_filter.PRIVATE)
+    verdicts = {(r.host, r.path): (r.rule, r.verdict) for r in found}
+    free = {h: verdict for (h, _), (rule, verdict) in verdicts.items() if rule is None}
+    assert free == {h: "block" if low[h][1] > 0.5 else "allow" for h in free}
+    assert "block" in free.values() and "allow" in free.values()
+
+
 def test_toxicity(spark):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -223,6 +282,30 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_scores_match_plain(spark, edge, documents):
+    """Each text's score from its own words, one after the other, repeats included."""
+    import math
+
+    model = toxicity.fit(documents, spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def plain(text):
+        total = n = 0
+        for w in (text or "").encode().split():
+            w = bytes(c + 32 if 65 <= c <= 90 else c for c in w).strip(b".,;:!?\"'()[]{}*#%&$|<>-_")
+            marked = b"<" + w + b">"
+            for part in [marked, *(marked[k : k + m] for m in (3, 4, 5) for k in range(len(marked) - m + 1))] if w else []:
+                row = zlib.crc32(part) % 32768
+                total += model.logits[row]
+                n += int(model.known[row])
+        z = model.bias + 100 * total / n if n else min(model.bias, -1.0)
+        return 1 / (1 + math.exp(-max(-60, min(60, z))))
+
+    for docs in (edge.where("doc_id is not null and doc_id not in (7, 8)"), documents.limit(60)):
+        got = toxicity.score(docs, model).collect()
+        want = {i: plain(t) for i, t, _ in rows_of(docs)}
+        assert len(got) == docs.count() and all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) for r in got)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, documents):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
