@@ -7,11 +7,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..session import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,14 +31,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset and there are no other machines
+    (tests), a temporary folder for each application."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="lakeloom-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="lakeloom-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 #: Rows that go to a Python worker at a time where the session says nothing else: texts are long.
@@ -73,18 +84,43 @@ def give_back() -> None:
 class Saved:
     """Tables written to the shared folder, to cut lineage; those no longer needed can be dropped early."""
 
+    #: All that were made in this process and not dropped as a whole.
+    made: ClassVar[list[Saved]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        Saved.made.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """The rows of df as a table; the others, which it was made of, go."""
+        kept = self.put(df, "result")
+        for name in sorted(self.names - {"result"}):
+            self.drop(name)
+        return kept
+
+
+@contextmanager
+def swept():
+    """Tables that are saved inside go at the end."""
+    before = len(Saved.made)
+    yield
+    for saved in Saved.made[before:]:
+        for name in sorted(saved.names):
+            saved.drop(name)
+    del Saved.made[before:]
 
 
 def components(links: DataFrame, saved: Saved, name: str = "cc") -> DataFrame:

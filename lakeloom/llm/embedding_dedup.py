@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Saved, arrow_map, components
 
 PASSES, NEAR, BITS = 16, 96, 48
+TIES = 15  # bits of the vector's hash that follow the signs, so that the order does not hang on how rows were dealt
 BLOCK = 1024  # classes of a component that are compared at a time
 MANY, MORE = 4_000_000, 0.21  # beyond so many classes in a label passes grow as this power of them
 ORDER = ["pass", "label", "dim", "bits", "class"]
@@ -59,6 +60,7 @@ def projected(classes: DataFrame, passes: int, seed: int, kind: type) -> DataFra
 
     def run(batches):
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest as digest
 
         directions: dict[int, np.ndarray] = {}
         weights = np.int64(1) << np.arange(BITS - 1, -1, -1)
@@ -70,7 +72,8 @@ def projected(classes: DataFrame, passes: int, seed: int, kind: type) -> DataFra
                     directions[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, passes * BITS))
                 at = np.nonzero(dims == dim)[0]
                 signs = np.frombuffer(b"".join(vecs[k] for k in at), kind).reshape(-1, dim).astype(np.float64) @ directions[dim] > 0
-                bits = signs.reshape(len(at), passes, BITS) @ weights
+                ties = np.fromiter((digest(vecs[k]) & (1 << TIES) - 1 for k in at), np.int64, len(at))
+                bits = (signs.reshape(len(at), passes, BITS) @ weights << TIES) | ties[:, None]
                 rows = batch.take(pa.array(at))
                 for p in range(passes):
                     n = len(at)

@@ -12,22 +12,26 @@ from .common import Saved, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Saved(spark, "op1")).drop("spans")
+    saved = Saved(spark, "op1")
+    return saved.result(suffix_dedup.dedup(table(spark, sf_dir, "documents"), saved).drop("spans"))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), Saved(spark, "op2"))
+    saved = Saved(spark, "op2")
+    return saved.result(licenses.scan(table(spark, sf_dir, "documents"), saved))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), Saved(spark, "op3"), public_tokenizers.path("word_bpe_49k.json"))
+    saved = Saved(spark, "op3")
+    return saved.result(packing.pack_documents(table(spark, sf_dir, "documents"), saved, public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), Saved(spark, "op4"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    saved = Saved(spark, "op4")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), saved)
+    return saved.result(mixed.select("doc_id", "size", "source_size", "target", "taken"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,12 +41,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.groups(table(spark, sf_dir, "documents"), Saved(spark, "op6"))
-    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    saved = Saved(spark, "op6")
+    found = simhash.groups(table(spark, sf_dir, "documents"), saved)
+    return saved.result(found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_pages(table(spark, sf_dir, "pages"), Saved(spark, "op7"))
+    saved = Saved(spark, "op7")
+    return saved.result(url_filter.judge_pages(table(spark, sf_dir, "pages"), saved))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +58,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup(table(spark, sf_dir, "documents"), Saved(spark, "op9"))
+    saved = Saved(spark, "op9")
+    return saved.result(substring_dedup.dedup(table(spark, sf_dir, "documents"), saved))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), Saved(spark, "op10"))
+    saved = Saved(spark, "op10")
+    return saved.result(embedding_dedup.dedup(table(spark, sf_dir, "embeddings"), saved))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,9 @@ Pieces are compared by 128 bits that come from all of their words, and first occ
 what is removed is what a comparison of all windows removes.
 
 Null texts have no words. Rows with a null id are left as they are and are no source for others. Rows that repeat an id
-must be equal rows; each gets a row of the result. Texts of fewer than 13 words lose nothing.
+must be equal rows; each gets a row of the result. Texts of fewer than 13 words lose nothing; texts of any length are
+judged as a whole. An empty table gives no rows; other columns of the input, whatever their names, are not looked at
+unless they are to be kept.
 """
 
 from __future__ import annotations

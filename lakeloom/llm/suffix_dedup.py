@@ -12,16 +12,19 @@ at i + 1 is one on from the suffix before the one at i, and the match is one sho
 matching statistics of every position as they are streamed in text order. Positions with matches of 100 bytes or more
 are tied to the suffixes before them; what is tied together is one string, and all but its first place are marked.
 
-An anchor that very many different runs have is not put into one index: its strings are compared one by one, by hash,
-in an aggregation that Spark spreads.
+The runs of an anchor that more than ``crowd`` different ones share are dealt anew, by longer anchors: twice as long each
+time, and indexed as soon as they are few. Longer anchors tell apart what follows a common string; at the length of the
+window only equal strings meet.
 
 Null texts are empty. Rows with a null id are left as they are and are no source for others. Rows that repeat an id
-must be equal rows; each gets a row of the result.
+must be equal rows; each gets a row of the result. Texts below 100 bytes lose nothing; texts of any length are judged as
+a whole, in blocks. An empty table gives no rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -107,21 +110,19 @@ def cut(asked: DataFrame, window: int) -> DataFrame:
     return arrow_map(asked, run, "anchor long, doc long, first long, piece binary")
 
 
-def singles(asked: DataFrame, window: int) -> DataFrame:
-    """The single windows of the runs that were asked for as rows of anchors.ROW."""
+def recut(asked: DataFrame, window: int, anchor: int) -> DataFrame:
+    """The windows of the runs that were asked for, dealt anew by longer anchors, as rows of anchors.ROW."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, texts, text, start, n, _ in _asked(batch):
-                joined = b"".join(texts)
-                sizes = np.array([len(t) for t in texts], np.int64)
-                at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                text = np.repeat(text, n)
-                begin = (np.cumsum(sizes) - sizes)[text] + at
-                found = digests(joined, begin, np.full(len(at), window))
-                second = anchors.mixed(found ^ anchors.rolled(BYTES[np.frombuffer(joined, np.uint8)], window)[begin]) if len(at) else found
-                yield _batch(anchors.packed(found, second.view(np.int64), ids[row + text], at, np.ones(len(at), np.int64), True), NAMES)
+                joined = b"".join(texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), (start + n + window - 1).tolist(), strict=True))
+                ends = np.cumsum(n.astype(np.int64) + window - 1)
+                part, first, many, hashes = anchors.runs(BYTES[np.frombuffer(joined, np.uint8)], ends, window, anchor)
+                content = digests(joined, first, many + window - 1).view(np.int64)
+                at = start[part] + first - (ends - n - window + 1)[part]
+                yield _batch(anchors.packed(hashes, content, ids[row + text[part]], at, many, True), NAMES)
 
     return arrow_map(asked, run, anchors.ROW)
 
@@ -248,21 +249,26 @@ def marked(cuts: DataFrame, window: int) -> DataFrame:
 def copied(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, first, n): n windows from the byte ``first`` on that also start earlier."""
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = anchors.judged(pieces(plain, window, anchor), saved, "runs", True)
-    asked = found.where("open").select("doc", "first", "n", "anchor")
-    crowds = asked.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > crowd)
-    asked = asked.join(crowds, "anchor", "left").select("doc", "first", "n", F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"))
-    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("x"))  # of one document
-    some = lambda c, crowded: F.transform(F.filter("x", lambda r: r["anchor"].isNull() if crowded else r["anchor"].isNotNull()), lambda r: r[c])
-    texts = zipped(plain, "_id", "_text").join(lists, F.col("_id") == F.col("doc"))
-    part = lambda crowded: texts.select("_id", "_z", *(some(c, crowded).alias(c) for c in ("first", "n", "anchor"))).where(F.size("first") > 0)
-    indexed = saved.put(marked(cut(part(False), window), window), "marked")
-    columns = ["doc", "first", "n"]
-    all_of = found.where("not open").select(columns).union(indexed.select(columns))
-    if crowds.isEmpty():
-        return all_of
-    each = anchors.judged(singles(part(True), window), saved, "singles", True)
-    return all_of.union(each.where("not open").select(columns))
+    columns, parts = ["doc", "first", "n"], []
+    rows, length = pieces(plain, window, anchor), anchor
+    while True:
+        found = anchors.judged(rows, saved, f"runs{length}", True)
+        parts.append(found.where("not open").select(columns))
+        if length == window:  # different strings are left
+            break
+        asked = found.where("open").select("doc", "first", "n", "anchor")
+        crowds = saved.put(asked.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > crowd), f"crowds{length}")
+        asked = asked.join(crowds, "anchor", "left").select("doc", "first", "n", F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"))
+        lists = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("x"))  # of one document
+        some = lambda c, crowded: F.transform(F.filter("x", lambda r: r["anchor"].isNull() if crowded else r["anchor"].isNotNull()), lambda r: r[c])
+        texts = zipped(plain, "_id", "_text").join(lists, F.col("_id") == F.col("doc"))
+        part = lambda crowded, texts=texts, some=some: texts.select("_id", "_z", *(some(c, crowded).alias(c) for c in ("first", "n", "anchor"))).where(F.size("first") > 0)
+        parts.append(saved.put(marked(cut(part(False), window), window), f"marked{length}").select(columns))
+        if crowds.isEmpty():
+            break
+        length = min(2 * length, window)
+        rows = recut(part(True), window, length)
+    return reduce(DataFrame.union, parts)
 
 
 def dedup(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
