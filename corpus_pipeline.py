@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm import mixing, packing, quality, simhash, substring_dedup
-from lakeloom.llm.common import Saved, table
+from lakeloom.llm.common import Saved, swept, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -75,5 +75,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = Saved(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = saved.put(stage(spark, docs, sf_dir), f"stage{k}")
+        with swept():
+            docs = saved.put(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            saved.drop(f"stage{k - 1}")
     return docs
