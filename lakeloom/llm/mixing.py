@@ -75,8 +75,10 @@ def mix(docs: DataFrame, saved: Saved, share: float = 1.5, most: float = 2.0, we
     ``odds_weight``: what inclusion probabilities are in proportion to within a source, in place of the digits of the size.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    plain = docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), (odds_weight if odds_weight is not None else F.length(F.bin(size))).cast("double").alias("_v"), uniform(F.col(id_col), seed).alias("_u"), F.monotonically_increasing_id().alias("_row"), *keep)
+    plain = docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), (odds_weight if odds_weight is not None else F.length(F.bin(size))).cast("double").alias("_v"), uniform(F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary"))), seed).alias("_u"), F.monotonically_increasing_id().alias("_row"), *keep)
     plain = saved.put(plain, "sizes")  # counted once; the row numbers stay
+    kept = plain.select("_row", *keep)  # what is kept waits here until the copies are known
+    plain = plain.select(F.col(id_col), "source", "size", "_v", "_u", "_row")
     wanted = saved.put(targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "targets")
     copies = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     wanted = wanted.select("*", F.least(copies, F.lit(int(most))).alias("_copies")).select("*", (F.col("target") - F.col("_copies") * F.col("source_size")).alias("_rest"))
@@ -94,7 +96,7 @@ def mix(docs: DataFrame, saved: Saved, share: float = 1.5, most: float = 2.0, we
     cells = rows.where("_q is not null").groupBy("source", "_rest", "_cell").agg(F.sum("size").alias("words"))
     cells = cells.select("*", F.sum("words").over(W.partitionBy("source").orderBy("_cell")).alias("upto"))
     cut = cells.where("upto > _rest").groupBy("source").agg(F.min(F.struct("_cell", (F.col("upto") - F.col("words")).alias("had"))).alias("x"))
-    cut = cut.select(F.col("source").alias("_source"), F.col("x._cell").alias("_cut"), F.col("x.had").alias("_had"))
+    cut = saved.put(cut.select(F.col("source").alias("_source"), F.col("x._cell").alias("_cut"), F.col("x.had").alias("_had")), "cut")
     rows = rows.join(cut, F.col("_source").eqNullSafe(F.col("source")), "left").drop("_source")
 
     inside = rows.where("_cell = _cut")
@@ -102,12 +104,13 @@ def mix(docs: DataFrame, saved: Saved, share: float = 1.5, most: float = 2.0, we
     inside = inside.withColumn("_extra", (upto <= F.col("_rest")).cast("int"))
     outside = rows.where("_q is null or _cut is null or _cell <> _cut")
     outside = outside.withColumn("_extra", F.when(F.col("_q").isNotNull() & (F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut"))), 1).otherwise(0))
-    rows = saved.put(inside.unionByName(outside).select(id_col, "source", "size", "source_size", "target", "_copies", "_rest", "_q", "_row", "_extra", *keep), "ranked")
+    rows = saved.put(inside.unionByName(outside).select(id_col, "source", "size", "source_size", "target", "_copies", "_rest", "_q", "_row", "_extra"), "ranked")
 
     gaps = rows.where("_q is not null").groupBy("source").agg((F.max("_rest") - F.sum(F.col("size") * F.col("_extra"))).alias("_gap"))
     near = rows.where("_q is not null and _extra = 0").withColumnRenamed("source", "_source").join(gaps, F.col("_source").eqNullSafe(F.col("source"))).where(F.abs(F.col("size") - F.col("_gap")) < F.col("_gap"))
     last = near.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("_gap")).alias("off"), "_q", F.col(id_col).alias("_id"), "_row")).alias("x"))
-    last = last.select(F.col("source").alias("_source"), F.col("x._row").alias("_last"))
+    last = saved.put(last.select(F.col("source").alias("_source"), F.col("x._row").alias("_last")), "last")
     rows = rows.join(last, F.col("_source").eqNullSafe(F.col("source")), "left")
     extra = F.when(F.col("_row") == F.col("_last"), 1).otherwise(F.col("_extra"))
-    return rows.select(id_col, "source", "size", "source_size", "target", (F.col("size") * (F.col("_copies") + extra)).cast("long").alias("taken"), *keep)
+    rows = rows.select(id_col, "source", "size", "source_size", "target", (F.col("size") * (F.col("_copies") + extra)).cast("long").alias("taken"), "_row")
+    return rows.join(kept, "_row").drop("_row") if keep else rows.drop("_row")
