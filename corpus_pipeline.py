@@ -27,11 +27,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays: the smallest id's, of rows that repeat an id the text with the smallest digests, of equal texts of one id the
     smallest source, language and length. Rows without an id are members like others and come after all ids."""
     docs = docs.select(*COLUMNS)
-    first = simhash.similar(docs, Saved(spark, "near")).where("first").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
-    texts = docs.select("*", *simhash.text_digests(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
-    kept = texts.join(first, same, "left_semi")
-    order = W.partitionBy("doc_id", "t1", "t2").orderBy("source", "lang", "n_chars")
+    named = lambda c: (F.coalesce(c, F.lit(0)).alias("_key"), c.isNull().alias("_none"), "t1", "t2")
+    key = ["_key", "_none", "t1", "t2"]
+    first = simhash.similar(docs, Saved(spark, "near")).where("first").select(*named(F.col("doc_id"))).distinct()
+    texts = docs.select("*", *simhash.text_digests(F.col("text"))).select(*COLUMNS, *named(F.col("doc_id")))
+    kept = texts.join(first, key, "left_semi")
+    order = W.partitionBy(*key).orderBy("source", "lang", "n_chars")
     return kept.withColumn("_k", F.row_number().over(order)).where("_k = 1").select(*COLUMNS)
 
 
