@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "asof_") -> DataFrame:
@@ -34,12 +35,17 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return joined.where((F.col(low) <= F.col(point)) & (F.col(point) < F.col(high))).drop("_cell")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Inner or left join whose large left side may have keys with very many rows: right rows are repeated for each salt."""
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner", hot: int = 100_000) -> DataFrame:
+    """Inner or left join whose large left side may have keys with very many rows. Keys with over ``hot`` left rows are
+    spread over ``salts`` tasks, and only their right rows are repeated. A row's salt comes from its values, so that a
+    task that runs again deals rows as before."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do {how}")
-    salted = left.withColumn("_salt", F.floor(F.rand(0) * salts).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    heavy = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*on, F.lit(salts).alias("_salts"))
+    one = F.coalesce("_salts", F.lit(1))
+    values = F.xxhash64(*(F.col(c) if not isinstance(left.schema[c].dataType, T.MapType) else F.map_entries(c) for c in left.columns))
+    salted = left.join(heavy, on, "left").withColumn("_salt", F.pmod(values, one).cast("int")).drop("_salts")
+    spread = right.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..sdk import Lake
 from ..sources import formats
 from ..streaming import sinks
+from ..types import type_name
 
 ORDERS = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "string", "o_totalprice": "float64", "o_orderdate": "timestamp", "o_orderpriority": "string"}
 NATION = {"n_nationkey": "int32", "n_name": "string", "n_regionkey": "int32"}
@@ -21,14 +24,87 @@ EVENTS = {"event_id": "int64", "ts": "timestamp", "user_id": "int64", "event_typ
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share; without spark.checkpoint.dir only a local master has one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lakeloom-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/lake-{uuid.uuid4().hex}"
 
 
+_CORPUS: dict[tuple[str, str], str] = {}
+CORPUS_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+#: Frames that have partitions, so that filters skip cells.
+PARTITIONED = {"orders": ["o_orderstatus"], "lineitem": ["l_returnflag"], "customer": ["c_mktsegment"], "events": ["event_type"]}
+
+
+def fill(lake: Lake, sf_dir: str, names: tuple[str, ...]) -> None:
+    lake.create_hive("c")
+    lake.create_box("c", "t")
+    for name in names:
+        rows = lake.spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        lake.create_frame("c", "t", name, {f.name: type_name(f.dataType) for f in rows.schema.fields}, PARTITIONED.get(name))
+        lake.write_df("c", "t", name, rows)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> str:
+    """Where a lake has all relational tables as frames; it is written once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPUS:
+        uri = folder(spark)
+        with Lake("corpus", uri, spark, timeout_s=3600) as lake:
+            fill(lake, sf_dir, CORPUS_TABLES)
+        _CORPUS[key] = uri
+    return _CORPUS[key]
+
+
+def enter(lake: Lake) -> None:
+    lake.sql_df("USE HIVE c")
+    lake.sql_df("USE BOX t")
+
+
+def through_frames(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A text over bare table names, answered from frames: resolved, pruned by the log's bounds and read as a snapshot."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Lake("corpus", corpus(spark, sf_dir), spark, timeout_s=3600) as lake:
+            enter(lake)
+            return lake.sql_df(text)
+
+    return run
+
+
+def while_writing(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a snapshot of events while a thread goes on appending to the frame: what was committed before counts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Lake("writing", folder(spark), spark, timeout_s=3600) as lake:
+            fill(lake, sf_dir, ("events", "customer"))
+            enter(lake)
+            more = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 97 = 0")
+            failed: list[BaseException] = []
+
+            def append() -> None:
+                try:
+                    for _ in range(3):
+                        lake.write_df("c", "t", "events", more)
+                except BaseException as error:  # told to the query's thread
+                    failed.append(error)
+
+            found = lake.sql_df(text)  # the snapshot of this moment
+            writer = threading.Thread(target=append)
+            writer.start()
+            found.write.parquet(f"{lake.storage.root}/answer")  # runs beside the writer
+            writer.join()
+            if failed:
+                raise failed[0]
+            return spark.read.schema(found.schema).parquet(f"{lake.storage.root}/answer")
+
+    return run
+
+
 def with_lake(call: Callable[[Lake, Callable[[str], DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A query that gets a lake with hive w and box s, and a reader of the given tables."""
 
@@ -99,7 +175,7 @@ def frame_snapshot(lake, read):
 @with_lake
 def frame_names(lake, read):
     _nation(lake, read)
-    lake.write_df("w", "s", "orders", _orders(lake, read).limit(0))
+    lake.write_df("w", "s", "orders", _orders(lake, read))
     lake.create_frame("w", "s", "region", {"r_regionkey": "int32", "r_name": "string"})
     lake.write_df("w", "s", "region", read("region"))
     lake.sql_df("USE HIVE w")
@@ -162,7 +238,7 @@ QUERIES = {
     "frame_overwrite": (frame_overwrite, "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus"),
     "frame_prune": (frame_prune, "SELECT o_orderkey, o_totalprice, true AS skipped FROM orders WHERE o_orderstatus = 'P' AND (o_totalprice > 300000 OR o_custkey < 50)"),
     "frame_snapshot": (frame_snapshot, "SELECT COUNT(*) AS before, 2 * COUNT(*) AS after FROM orders"),
-    "frame_names": (frame_names, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'"),
+    "frame_names": (frame_names, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = n_nationkey)"),
     "frame_describe": (frame_describe, "SELECT 'partition_by' AS property, 'n_regionkey' AS value UNION ALL SELECT 'total_rows', CAST(COUNT(*) AS VARCHAR) FROM nation UNION ALL SELECT 'cells', CAST(COUNT(DISTINCT n_regionkey) AS VARCHAR) FROM nation"),
     "show_frames": (show_frames, "SELECT * FROM (VALUES ('w', 'hive'), ('s', 'box'), ('nation', 'frame')) AS t(name, kind)"),
     "frame_read_filter": (frame_read_filter, "SELECT * FROM nation WHERE n_regionkey = 2"),

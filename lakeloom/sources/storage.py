@@ -78,8 +78,14 @@ class LocalStorage:
 
 
 class HadoopStorage:
-    """Any file system that Spark reaches (hdfs, s3a, viewfs). The put that never overwrites is the file system's own
-    exclusive create: atomic on HDFS, and on object stores where the connector makes conditional creates."""
+    """Any file system that Spark reaches (hdfs, s3a, viewfs). A key appears with all of its bytes or not at all.
+
+    On file systems with a rename that fails where the target is there (HDFS), a put that never overwrites writes a
+    temporary file and renames it. On object stores, where an upload appears when it is closed and a rename is a copy, it
+    is the connector's conditional create (fs.option.create.conditional.overwrite), which the store itself decides."""
+
+    CONDITIONAL = "fs.option.create.conditional.overwrite"
+    STORES = ("s3a", "gs", "abfs", "abfss")
 
     def __init__(self, spark, root: str):
         self.spark, self.root = spark, root
@@ -93,7 +99,10 @@ class HadoopStorage:
         return f"{self.root}/{key}"
 
     def _create(self, key: str, data: bytes, overwrite: bool) -> None:
-        stream = self.fs.create(self._path(key), overwrite)
+        self._write(self.fs.create(self._path(key), overwrite), data)
+
+    @staticmethod
+    def _write(stream, data: bytes) -> None:
         try:
             stream.write(bytearray(data))
         finally:
@@ -105,12 +114,24 @@ class HadoopStorage:
     def put_if_not_exists(self, key: str, data: bytes) -> None:
         from py4j.protocol import Py4JJavaError
 
+        path, gone = self._path(key), None
         try:
-            self._create(key, data, False)
+            if self.fs.getScheme() in self.STORES:
+                self._write(self.fs.createFile(path).opt(self.CONDITIONAL, True).overwrite(False).build(), data)
+                return
+            folder = path.getParent()
+            self.fs.mkdirs(folder)
+            gone = self.jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+            self._write(self.fs.create(gone, False), data)
+            if not self.exists(key) and self.fs.rename(gone, path):
+                return
         except Py4JJavaError as error:
-            if self.exists(key):
-                raise WriteConflictError(key) from None
-            raise StorageError(str(error.java_exception)) from None
+            if not self.exists(key):
+                raise StorageError(str(error.java_exception)) from None
+        finally:
+            if gone is not None:
+                self.fs.delete(gone, False)
+        raise WriteConflictError(key)
 
     def get(self, key: str) -> bytes:
         if not self.exists(key):

@@ -47,6 +47,14 @@ def spark_type(name: str, strict: bool = True) -> T.DataType:
     return found if found is not None else T.StringType()
 
 
+def type_name(kind: T.DataType) -> str:
+    """The first name that stands for a type."""
+    for name, known in NAMES.items():
+        if known == kind:
+            return name
+    raise SchemaError(f"No type name for {kind.simpleString()}")
+
+
 def _name_of(spec: Any) -> str:
     """The type name in one field of the list form: a string, or an object with a name."""
     if isinstance(spec, str):

@@ -30,10 +30,11 @@ def lake(spark, tmp_path):
 
 
 @pytest.fixture
-def temperature(lake):
-    lake.create_frame("w", "s", "temperature", {"region": "string", "temp": "float64", "humidity": "int64"}, ["region"])
-    lake.write_to_frame("w", "s", "temperature", ipc(region=["north"] * 3, temp=[10.0, 15.0, 20.0], humidity=[50, 55, 60]))
-    lake.write_to_frame("w", "s", "temperature", ipc(region=["south"] * 2, temp=[30.0, 40.0], humidity=[70, 80]))
+def stock(lake):
+    """Two shops: mill sells three things, quay four dearer ones."""
+    lake.create_frame("w", "s", "stock", {"price": "float64", "pieces": "int64", "shop": "string"}, ["shop"])
+    lake.write_to_frame("w", "s", "stock", ipc(price=[2.5, 4.0, 8.5], pieces=[7, 9, 20], shop=["mill"] * 3))
+    lake.write_to_frame("w", "s", "stock", ipc(price=[12.0, 16.0, 31.0, 41.0], pieces=[1, 2, 4, 300], shop=["quay"] * 4))
     return lake
 
 
@@ -118,22 +119,22 @@ def test_max_partitions(lake):
         lake.write_to_frame("w", "s", "f", ipc(p=[1, 2, 3]))
 
 
-def test_sql(temperature):
-    rows = lambda q: [tuple(r.values()) for r in table(temperature.sql(q)).to_pylist()]
-    assert len(rows("SELECT * FROM w.s.temperature WHERE region = 'north'")) == 3
-    assert temperature.session.report.relations == [("w.s.temperature", 2, 1)]
-    assert len(rows("SELECT * FROM w.s.temperature WHERE temp > 25")) == 2
-    assert temperature.session.report.relations == [("w.s.temperature", 2, 1)]
-    assert rows("SELECT region, AVG(temp), COUNT(*) FROM w.s.temperature GROUP BY region ORDER BY region") == [("north", 15.0, 3), ("south", 35.0, 2)]
-    assert rows("SELECT temp FROM w.s.temperature ORDER BY temp DESC LIMIT 2") == [(40.0,), (30.0,)]
-    described = dict(rows("DESCRIBE w.s.temperature"))
-    assert (described["total_rows"], described["cells"], described["partition_by"]) == ("5", "2", "region")
-    assert rows("SHOW HIVES") == [("w",)] and rows("SHOW BOXES IN w;") == [("s",)] and rows("show frames in W.S") == [("temperature",)]
+def test_sql(stock):
+    rows = lambda q: [tuple(r.values()) for r in table(stock.sql(q)).to_pylist()]
+    assert sorted(rows("SELECT pieces FROM w.s.stock WHERE shop = 'quay'")) == [(1,), (2,), (4,), (300,)]
+    assert stock.session.report.relations == [("w.s.stock", 2, 1)]
+    assert rows("SELECT COUNT(*) FROM w.s.stock WHERE pieces > 100") == [(1,)]
+    assert stock.session.report.relations == [("w.s.stock", 2, 1)]
+    assert rows("SELECT shop, SUM(price * pieces) AS worth, MAX(price) FROM w.s.stock GROUP BY shop ORDER BY worth") == [("mill", 223.5, 8.5), ("quay", 12468.0, 41.0)]
+    assert rows("SELECT shop, pieces FROM w.s.stock ORDER BY pieces DESC LIMIT 3") == [("quay", 300), ("mill", 20), ("mill", 9)]
+    described = dict(rows("DESCRIBE w.s.stock"))
+    assert (described["total_rows"], described["cells"], described["partition_by"]) == ("7", "2", "shop")
+    assert rows("SHOW HIVES") == [("w",)] and rows("SHOW BOXES IN w;") == [("s",)] and rows("show frames in W.S") == [("stock",)]
 
 
-def test_names_and_commands(temperature):
-    sql = lambda q: temperature.sql_df(q).collect()
-    for q in ("SELECT * FROM temperature", "SELECT * FROM s.temperature", "SELECT * FROM w.s.none"):
+def test_names_and_commands(stock):
+    sql = lambda q: stock.sql_df(q).collect()
+    for q in ("SELECT * FROM stock", "SELECT * FROM s.stock", "SELECT * FROM w.s.none"):
         with pytest.raises(ResolutionError):
             sql(q)
     with pytest.raises(ConfigError):
@@ -141,10 +142,10 @@ def test_names_and_commands(temperature):
     with pytest.raises(EntityNotFoundError):
         sql("USE HIVE none")
     assert sql("USE HIVE W")[0].message == "Current hive set to 'w'"
-    assert len(sql("SELECT * FROM s.temperature")) == 5
+    assert len(sql("SELECT * FROM s.stock")) == 7
     assert sql("use box S;")[0].message == "Current box set to 's'"
-    assert len(sql("SELECT temperature.temp FROM temperature WHERE temperature.temp > 0")) == 5
-    for q in ("DESCRIBE temperature", "SHOW FRAMES IN w", "SELECT 1"):
+    assert len(sql("SELECT stock.price FROM stock WHERE stock.price > 0")) == 7
+    for q in ("DESCRIBE stock", "SHOW FRAMES IN w", "SELECT 1"):
         with pytest.raises(ConfigError):
             sql(q)
     for word in ("DELETE FROM x", "update x set a = 1", "INSERT INTO x VALUES (1)", "DROP TABLE x", "-- c\nCREATE TABLE x (a int)", "ALTER TABLE x", "MERGE INTO x"):
@@ -152,33 +153,33 @@ def test_names_and_commands(temperature):
             sql(word)
 
 
-def test_texts_that_confuse_scanners(temperature):
-    sql = lambda q: temperature.sql_df(q).collect()
-    q = "WITH temperature AS (SELECT region FROM w.s.temperature WHERE temp < 20) SELECT COUNT(*) AS n FROM temperature"
+def test_texts_that_confuse_scanners(stock):
+    sql = lambda q: stock.sql_df(q).collect()
+    q = "WITH stock AS (SELECT shop FROM w.s.stock WHERE price < 5) SELECT COUNT(*) AS n FROM stock"
     assert sql(q)[0].n == 2
-    assert sql("SELECT '\U0001f41d FROM w.s.x' AS a, COUNT(*) AS n FROM w.s.temperature t, w.s.temperature u WHERE t.temp = u.temp")[0].n == 5
-    assert sql("SELECT EXTRACT(YEAR FROM CAST('2020-01-01' AS DATE)) AS y, SUBSTRING(region FROM 1 FOR 2) AS p FROM w.s.temperature\nWHERE\ttemp = 40")[0].p == "so"
-    assert sql("SELECT COUNT(*) AS n FROM w.s.temperature WHERE region = 'north' OR region = 'south'")[0].n == 5
-    assert sql("SELECT COUNT(*) AS n FROM w.s.temperature WHERE temp = 10 AND region = 'north' OR humidity = 80")[0].n == 2
-    assert sql("SELECT COUNT(*) AS n FROM w.s.temperature WHERE NOT region = 'north'")[0].n == 2
-    assert sql("SELECT COUNT(*) AS n FROM (SELECT * FROM w.s.temperature WHERE region = 'north' UNION ALL SELECT * FROM w.s.temperature) AS u")[0].n == 8
-    assert sorted(r[2] for r in temperature.session.report.relations) == [1, 2]
-    assert sql("SELECT approx_percentile_cont(temp, 0.5) AS m FROM w.s.temperature")[0].m == 20.0
-    assert "reads 1 of 2 cells" in sql("EXPLAIN SELECT * FROM w.s.temperature WHERE region = 'south'")[0].plan
-
-
-def test_same_name_in_two_boxes(temperature):
-    temperature.create_box("w", "other")
-    temperature.create_frame("w", "other", "temperature", {"region": "string", "limit": "float64"})
-    temperature.write_to_frame("w", "other", "temperature", ipc(region=["south"], limit=[35.0]))
-    q = "SELECT a.temp FROM w.s.temperature a JOIN w.other.temperature b ON a.region = b.region WHERE a.temp > b.limit"
-    assert [r.temp for r in temperature.sql_df(q).collect()] == [40.0]
-
-
-def test_snapshot(temperature):
-    before = temperature.sql_df("SELECT * FROM w.s.temperature")
-    temperature.write_to_frame("w", "s", "temperature", ipc(region=["east"], temp=[1.0], humidity=[1]))
-    assert (before.count(), temperature.sql_df("SELECT * FROM w.s.temperature").count()) == (5, 6)
+    assert sql("SELECT '\U0001f41d FROM w.s.x' AS a, COUNT(*) AS n FROM w.s.stock t, w.s.stock u WHERE t.pieces = u.pieces")[0].n == 7
+    assert sql("SELECT EXTRACT(YEAR FROM CAST('2020-01-01' AS DATE)) AS y, SUBSTRING(shop FROM 1 FOR 2) AS p FROM w.s.stock\nWHERE\tprice = 41")[0].p == "qu"
+    assert sql("SELECT COUNT(*) AS n FROM w.s.stock WHERE shop = 'mill' OR shop = 'quay'")[0].n == 7
+    assert sql("SELECT COUNT(*) AS n FROM w.s.stock WHERE price = 4 AND shop = 'mill' OR pieces = 300")[0].n == 2
+    assert sql("SELECT COUNT(*) AS n FROM w.s.stock WHERE NOT shop = 'mill'")[0].n == 4
+    assert sql("SELECT COUNT(*) AS n FROM (SELECT * FROM w.s.stock WHERE shop = 'mill' UNION ALL SELECT * FROM w.s.stock) AS u")[0].n == 10
+    assert sorted(r[2] for r in stock.session.report.relations) == [1, 2]
+    assert sql("SELECT approx_percentile_cont(price, 0.5) AS m FROM w.s.stock")[0].m == 12.0
+    assert "reads 1 of 2 cells" in sql("EXPLAIN SELECT * FROM w.s.stock WHERE shop = 'quay'")[0].plan
+
+
+def test_same_name_in_two_boxes(stock):
+    stock.create_box("w", "other")
+    stock.create_frame("w", "other", "stock", {"shop": "string", "least": "int64"})
+    stock.write_to_frame("w", "other", "stock", ipc(shop=["mill", "quay"], least=[8, 5]))
+    q = "SELECT a.pieces FROM w.s.stock a JOIN w.other.stock b ON a.shop = b.shop WHERE a.pieces < b.least"
+    assert sorted(r.pieces for r in stock.sql_df(q).collect()) == [1, 2, 4, 7]
+
+
+def test_snapshot(stock):
+    before = stock.sql_df("SELECT * FROM w.s.stock")
+    stock.write_to_frame("w", "s", "stock", ipc(price=[0.5, 0.75], pieces=[1, 1], shop=["fair", "mill"]))
+    assert (before.count(), stock.sql_df("SELECT * FROM w.s.stock").count()) == (7, 9)
 
 
 def test_two_nodes_and_threads(lake, spark):

@@ -27,7 +27,7 @@ def lake(spark, tmp_path_factory):
         yield found
 
 
-LEAVES = ["p = 'x'", "p <> 'y'", "p IN ('x', 'z')", "a < 12", "a >= 25", "a = 15", "a IN (1, 40)", "f > 10", "f = 2.5", "f < 0", "s < 'b'", "s = 'ay'", "s LIKE 'c%'", "d >= '2024-05-01'", "d = DATE'2024-03-11'", "t < '2024-01-04 00:00:00'", "b", "NOT b", "a IS NULL", "a IS NOT NULL", "p = s", "a + 1 > 20", "f IS NULL", "cast(a as string) = '15'"]
+LEAVES = ["p = 'x'", "p <> 'y'", "p IN ('x', 'z')", "a < 12", "a >= 25", "a = 15", "a IN (1, 40)", "a IN (" + ", ".join(map(str, range(31, 46))) + ")", "p IN (" + ", ".join(f"'{c}'" for c in "abcdefghijklmx") + ")", "d IN (" + ", ".join(f"DATE'2030-01-{k:02d}'" for k in range(1, 15)) + ")", "f > 10", "f = 2.5", "f < 0", "s < 'b'", "s = 'ay'", "s LIKE 'c%'", "d >= '2024-05-01'", "d = DATE'2024-03-11'", "t < '2024-01-04 00:00:00'", "b", "NOT b", "a IS NULL", "a IS NOT NULL", "p = s", "a + 1 > 20", "f IS NULL", "cast(a as string) = '15'"]
 
 
 def tree(rng, depth):
@@ -47,6 +47,11 @@ def test_same_rows_as_without(lake):
     assert skipped >= 10
 
 
+def test_long_lists_skip(lake):
+    assert lake.sql_df("SELECT * FROM h.b.f WHERE p IN (" + ", ".join(f"'{c}'" for c in "abcdefghijklmx") + ")").count() == 30
+    assert lake.session.report.relations == [("h.b.f", 3, 1)]
+
+
 def test_each_place_counts(lake):
     lake.sql_df("SELECT x.a FROM h.b.f x JOIN h.b.f y ON x.a = y.a WHERE x.p = 'x' AND y.p = 'z'")
     assert [r[2] for r in lake.session.report.relations] == [1, 1]
