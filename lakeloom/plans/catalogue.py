@@ -91,11 +91,13 @@ FRAMES = {"join_asof": (asof, ASOF), "join_range": (in_range, RANGE), "join_salt
 
 
 def everything() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
-    """The queries over plain tables; the 51 of the three corpora again over frames (lake_...), and four beside a writer."""
+    """The queries over plain tables; the 51 of the three corpora again over frames (lake_...), four
+    beside a writer (writing_...), five over cells of several formats (mixed_...)."""
     both = tpch.TPCH | ssb.SSB
     found = {k: (sql_query(t), t) for k, t in (both | surface.BOTH).items()}
     found |= {k: (sql_query(s), d) for k, (s, d) in (sensor.texts() | surface.EACH).items()}
     found |= {f"lake_{k}": (lake_queries.through_frames(t), t) for k, t in both.items()}
     found |= {f"lake_{k}": (lake_queries.through_frames(s), d) for k, (s, d) in sensor.texts().items()}
     found |= {f"writing_{k}": (lake_queries.while_writing(s), d) for k, (s, d) in sensor.texts().items() if k.startswith("ac_")}
+    found |= {f"mixed_{k}": (lake_queries.of_mixed_formats(s), d) for k, (s, d) in sensor.texts().items() if k.startswith("fa_")}
     return found | FRAMES | lake_queries.QUERIES

@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError
-from ..sdk import Lake
+from ..errors import ConfigError, UnsupportedError
+from ..functions import user
+from ..ledger import Ledger
+from ..sdk import Lake, from_ipc, to_ipc
 from ..sources import formats
 from ..streaming import sinks
 from ..types import type_name
@@ -223,6 +225,98 @@ def frame_stream(lake, read):
     return lake.sql_df("SELECT event_type, COUNT(*) AS n, MIN(value) AS low, MAX(value) AS high FROM w.s.events GROUP BY event_type")
 
 
+@with_lake
+def frame_checkpoint(lake, read):
+    """Rows before and after version 100, read by a ledger that starts from the checkpoint."""
+    _nation(lake, read)
+    log = Ledger.open(lake.storage, "w/s/nation", "filler")
+    while log.version < 103:
+        log.add([])
+    lake.write_df("w", "s", "nation", read("nation").where("n_regionkey = 1"))
+    return lake.sql_df("SELECT n_regionkey, COUNT(*) AS n FROM w.s.nation GROUP BY n_regionkey")
+
+
+@with_lake
+def frame_ipc(lake, read):
+    """Rows in by Arrow IPC bytes and out by Arrow IPC bytes."""
+    lake.create_table("w", "s", "nation", NATION)
+    lake.write_to_frame("w", "s", "nation", to_ipc(read("nation").select(*NATION)))
+    return from_ipc(lake.spark, lake.sql("SELECT n_name, n_regionkey FROM w.s.nation WHERE n_nationkey > 3"))
+
+
+@with_lake
+def frame_cell(lake, read):
+    """One cell by its id, some columns of it."""
+    _nation(lake, read)
+    cells = Ledger.open(lake.storage, "w/s/nation", "reader").cells.values()
+    (own,) = [c for c in cells if c.partition_values == {"n_regionkey": "3"}]
+    return lake.read_cell("w", "s", "nation", own.id, ["n_name", "unknown"])
+
+
+@with_lake
+def sql_blocked(lake, read):
+    """Statements that change rows or names are refused, whatever stands before them."""
+    _nation(lake, read)
+    rows = []
+    for text in ("DELETE FROM w.s.nation", "update w.s.nation set n_name = ''", "/* c */ INSERT INTO w.s.nation VALUES (1)", "-- c\nDROP TABLE w.s.nation", "CREATE TABLE t (a INT)", "ALTER TABLE w.s.nation"):
+        try:
+            lake.sql_df(text)
+            rows.append((text.split()[-1], "ran"))
+        except UnsupportedError as error:
+            rows.append((str(error).split(": ", 1)[-1].split()[0], "refused"))
+    return lake.spark.createDataFrame(rows, "word string, answer string").crossJoin(lake.sql_df("SELECT COUNT(*) AS n FROM w.s.nation"))
+
+
+@with_lake
+def frame_schema_errors(lake, read):
+    """Writes that a frame refuses leave it as it was."""
+    _nation(lake, read)
+    refused = 0
+    for bad in (read("nation").withColumn("n_regionkey", F.lit(None).cast("int")), read("nation").withColumn("n_nationkey", F.lit("no number"))):
+        try:
+            lake.write_df("w", "s", "nation", bad)
+        except Exception:  # a schema error, or Spark's own for a cast
+            refused += 1
+    return lake.sql_df("SELECT COUNT(*) AS n FROM w.s.nation").withColumn("refused", F.lit(refused))
+
+
+@with_lake
+def frame_vacuum(lake, read):
+    """Files of cells that were replaced go; the rows stay."""
+    orders = _orders(lake, read)
+    lake.write_df("w", "s", "orders", orders.where("o_orderkey % 2 = 0"))
+    lake.write_df("w", "s", "orders", orders, overwrite=True)
+    gone = lake.vacuum_frame("w", "s", "orders", older_than_s=-60)
+    return lake.sql_df("SELECT o_orderstatus, COUNT(*) AS n FROM w.s.orders GROUP BY o_orderstatus").withColumn("some_gone", F.lit(gone > 0))
+
+
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pandas function in a projection."""
+    user.register(spark, "lake_twice", lambda s: s * 2, "double")
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").createOrReplaceTempView("lake_suppliers")
+    return spark.sql("SELECT s_suppkey, lake_twice(s_acctbal) AS twice FROM lake_suppliers")
+
+
+def of_mixed_formats(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over events whose frame has cells of Parquet, CSV and Arrow, a third of the rows each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with Lake("mixed", folder(spark), spark, timeout_s=3600) as lake:
+            fill(lake, sf_dir, ("customer",))
+            rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+            lake.create_frame("c", "t", "events", {f.name: type_name(f.dataType) for f in rows.schema.fields})
+            root, part = lake.storage.root, lambda k: rows.where(F.col("event_id") % 3 == k)
+            lake.write_df("c", "t", "events", part(0))
+            part(1).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(f"{root}/csv")
+            formats.write_arrow(part(2), f"{root}/arrow")
+            lake.add_files("c", "t", "events", [f"{root}/csv"], "csv")
+            lake.add_files("c", "t", "events", [f"{root}/arrow"], "arrow")
+            enter(lake)
+            return lake.sql_df(text)
+
+    return run
+
+
 def mixed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers, root = spark.read.parquet(f"{sf_dir}/supplier.parquet"), folder(spark)
     part = lambda k: suppliers.where(F.col("s_suppkey") % 2 == k)
@@ -244,5 +338,12 @@ QUERIES = {
     "frame_read_filter": (frame_read_filter, "SELECT * FROM nation WHERE n_regionkey = 2"),
     "frame_compaction": (frame_compaction, "SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority"),
     "frame_stream": (frame_stream, "SELECT event_type, COUNT(*) AS n, MIN(value) AS low, MAX(value) AS high FROM events GROUP BY event_type"),
+    "frame_checkpoint": (frame_checkpoint, "SELECT n_regionkey, COUNT(*) + COUNT(CASE WHEN n_regionkey = 1 THEN 1 END) AS n FROM nation GROUP BY n_regionkey"),
+    "frame_ipc": (frame_ipc, "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey > 3"),
+    "frame_cell": (frame_cell, "SELECT n_name FROM nation WHERE n_regionkey = 3"),
+    "frame_schema_errors": (frame_schema_errors, "SELECT COUNT(*) AS n, 2 AS refused FROM nation"),
+    "frame_vacuum": (frame_vacuum, "SELECT o_orderstatus, COUNT(*) AS n, true AS some_gone FROM orders GROUP BY o_orderstatus"),
+    "sql_blocked": (sql_blocked, "SELECT word, 'refused' AS answer, n FROM (VALUES ('DELETE'), ('UPDATE'), ('INSERT'), ('DROP'), ('CREATE'), ('ALTER')) AS t(word), (SELECT COUNT(*) AS n FROM nation) AS c"),
+    "user_functions": (user_functions, "SELECT s_suppkey, s_acctbal * 2 AS twice FROM supplier"),
     "frame_mixed_formats": (mixed_formats, "SELECT * FROM supplier"),
 }

@@ -194,6 +194,16 @@ class Lake:
         wanted = [c for c in columns if c in schema.names] if columns is not None else schema.names
         return frames.read_cells(self.spark, self.storage.root, key, schema, [cells[cell_id]]).select(*(F.col(f"`{c}`") for c in wanted))
 
+    def add_files(self, hive: str, box_name: str, frame: str, paths: list[str], kind: str = "parquet") -> dict[str, Any]:
+        """Files that are there already (parquet, csv or arrow) as cells of a frame."""
+        spec = self.catalog.get_frame(hive, box_name, frame)
+        return asdict(frames.add_files(self.spark, self.storage, f"{hive}/{box_name}/{frame}", spec, paths, kind, self.node_id))
+
+    def vacuum_frame(self, hive: str, box_name: str, frame: str, older_than_s: float = 7 * 86400) -> int:
+        """Deletes files that no cell names any more; returns how many."""
+        self.catalog.get_frame(hive, box_name, frame)
+        return frames.vacuum(self.spark, self.storage, f"{hive}/{box_name}/{frame}", self.node_id, older_than_s)
+
     def compact_frame(self, hive: str, box_name: str, frame: str) -> dict[str, Any]:
         spec = self.catalog.get_frame(hive, box_name, frame)
         return asdict(frames.compact(self.spark, self.storage, f"{hive}/{box_name}/{frame}", spec, self.node_id, self.target_cell_size))

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..errors import SchemaError
 from ..ledger import Cell, ColumnStats, Ledger
 from ..types import spark_schema
+from . import formats
 
 #: Partition columns stay in the files; folders are named by copies with this prefix.
 PREFIX = "part__"
@@ -89,6 +90,14 @@ def _width(t: T.DataType) -> int:
 
 
 def describe(spark: SparkSession, path: str, base: str, schema: T.StructType, partition_by: list[str]) -> list[Cell]:
+    """The Parquet files of a folder as cells with paths below ``base``."""
+    if not _has_files(spark, path):
+        return []
+    return described(spark.read.schema(schema).parquet(path).select("*", "_metadata.file_path", "_metadata.file_size"), base, schema, partition_by)
+
+
+def described(files: DataFrame, base: str | None, schema: T.StructType, partition_by: list[str], kind: str = "parquet") -> list[Cell]:
+    """A cell for each file of rows with file_path and file_size, whose statistics one aggregation finds."""
     fields = [f for f in schema.fields if isinstance(f.dataType, COUNTED)]
     names = [f.name for f in fields]
     aggregates = [F.count("*").alias("rows")]
@@ -97,13 +106,10 @@ def describe(spark: SparkSession, path: str, base: str, schema: T.StructType, pa
         floats = isinstance(f.dataType, T.FloatType | T.DoubleType)
         aggregates += [F.min(c).alias(f"min{k}"), F.max(c).alias(f"max{k}"), F.count(F.when(c.isNull(), 1)).alias(f"null{k}")]
         aggregates += [F.count(F.when(F.isnan(c), 1)).alias(f"nan{k}")] if floats else []
-    files = spark.read.schema(schema).parquet(path).select("*", "_metadata.file_path", "_metadata.file_size") if _has_files(spark, path) else None
-    if files is None:
-        return []
     cells = []
     for r in files.groupBy("file_path", "file_size").agg(*aggregates).collect():  # a row for each new cell
         own = unquote(r["file_path"])
-        own = own[own.index(base) + len(base) + 1 :] if base in own else own
+        own = own[own.index(base) + len(base) + 1 :] if base is not None and base in own else own
         stats = {}
         for k, f in enumerate(fields):
             low, high = _plain(r[f"min{k}"]), _plain(r[f"max{k}"])
@@ -112,7 +118,7 @@ def describe(spark: SparkSession, path: str, base: str, schema: T.StructType, pa
             stats[f.name] = ColumnStats(low, high, r[f"null{k}"])
         # All rows of a cell have the same partition values, which the statistics hold
         values = {p: _text(r[f"min{names.index(p)}"]) for p in partition_by}
-        cells.append(Cell(uuid.uuid4().hex, own, r["rows"], r["file_size"], values, stats))
+        cells.append(Cell(uuid.uuid4().hex, own, r["rows"], r["file_size"], values, stats, kind))
     return sorted(cells, key=lambda c: c.path)
 
 
@@ -148,14 +154,63 @@ def read_cells(spark: SparkSession, root: str, frame: str, schema: T.StructType,
         return spark.createDataFrame([], schema)
     by_format: dict[str, list[str]] = {}
     for c in cells:
-        by_format.setdefault(c.format, []).append(f"{root}/{frame}/{c.path}")
-    parts = [spark.read.format(kind).schema(schema).load(paths).select(*(F.col(f"`{f.name}`") for f in schema.fields)) for kind, paths in sorted(by_format.items())]
+        outside = c.path.startswith(("/", "file:")) or "://" in c.path
+        by_format.setdefault(c.format, []).append(c.path if outside else f"{root}/{frame}/{c.path}")
+    readers = {"csv": lambda paths: formats.read_csv(spark, paths, schema), "arrow": lambda paths: formats.read_arrow(spark, paths, schema)}
+    parquet = lambda paths: spark.read.schema(schema).parquet(*paths)
+    parts = [readers.get(kind, parquet)(paths).select(*(F.col(f"`{f.name}`") for f in schema.fields)) for kind, paths in sorted(by_format.items())]
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
     return found
 
 
+def add_files(spark: SparkSession, storage, frame_key: str, spec: dict, paths: list[str], kind: str, node: str) -> WriteResult:
+    """Files of Parquet, CSV (with a header) or Arrow that lie elsewhere become cells where they are, with statistics.
+    They stay their owner's: vacuum leaves them alone, compaction rewrites their rows. Frames without partitions only."""
+    started = time.monotonic()
+    if spec["partition_by"]:
+        raise SchemaError("files can only be added to frames without partitions")
+    schema = spark_schema(spec["schema"])
+    if kind == "arrow":
+        files = formats.read_arrow(spark, paths, schema, named=True)
+    elif kind in ("csv", "parquet"):
+        found = formats.read_csv(spark, paths, schema) if kind == "csv" else spark.read.schema(schema).parquet(*paths)
+        files = found.select("*", "_metadata.file_path", "_metadata.file_size")
+    else:
+        raise SchemaError(f"no reader for files of format '{kind}'")
+    cells = described(files, None, schema, [], kind)
+    version = Ledger.create(storage, frame_key, node, spec["schema"], []).add(cells)
+    return WriteResult(version, len(cells), sum(c.rows for c in cells), sum(c.bytes for c in cells), int((time.monotonic() - started) * 1000))
+
+
+def vacuum(spark: SparkSession, storage, frame_key: str, node: str, older_than_s: float) -> int:
+    """Deletes files of the frame's folder that no active cell names and that are older than so many seconds: what
+    failed commits, repeated stream batches, overwrites and compactions left. Returns their number. Snapshots taken
+    before that age and still read would miss files."""
+    jvm = spark.sparkContext._jvm
+    base = f"{storage.root}/{frame_key}"
+    folder = jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    active = {c.path for c in Ledger.open(storage, frame_key, node).cells.values()}
+    last, gone = (time.time() - older_than_s) * 1000, 0
+    for status in fs.listStatus(folder):
+        if not status.isDirectory() or not status.getPath().getName().startswith("cells_"):
+            continue
+        files, left = fs.listFiles(status.getPath(), True), 0
+        while files.hasNext():
+            f = files.next()
+            own = f.getPath().toString()
+            own = own[own.index(base) + len(base) + 1 :]
+            if own in active or f.getModificationTime() > last:
+                left += 1
+            elif fs.delete(f.getPath(), False):
+                gone += f.getPath().getName().endswith(".parquet")
+        if not left:
+            fs.delete(status.getPath(), True)
+    return gone
+
+
 def write(spark: SparkSession, storage, frame_key: str, spec: dict, df: DataFrame, node: str, overwrite: bool, target_bytes: int, writer: str | None = None, number: int = 0) -> WriteResult:
     started = time.monotonic()
     schema = spark_schema(spec["schema"])
