@@ -32,7 +32,7 @@ BUCKETS, WIDTH, SHORTEST, LONGEST = 1 << 15, 8, 3, 5
 #: Labelled rows to train on, at most: those whose ids have the smallest hashes.
 SAMPLE = 8_000
 #: Words that a worker remembers at most.
-MEMORY = 250_000
+MEMORY = 600_000
 EDGES = b".,;:!?\"'()[]{}*#%&$|<>-_"
 #: What averages are multiplied by before the softmax, so that rare toxic words can show.
 SCALE = 100.0
@@ -160,29 +160,37 @@ class Scorer(dict):
     remembered between batches."""
 
     def __init__(self, model: Model):
-        self.model, self.bytes, self.parts = model, 0, np.zeros((1 << 12, 2))
+        self.bias, self.logits, self.known = model.bias, model.logits.tolist(), model.known.tolist()
+        self.bytes, self.rows, self.parts = 0, 0, np.zeros((1 << 12, 2))
 
     def __missing__(self, word: bytes) -> int:
-        row = len(self)
-        if row == len(self.parts):
-            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        plain = word.strip(EDGES)
-        ids = grams(plain) if plain else []
-        self.parts[row] = self.model.logits[ids].sum(), self.model.known[ids].sum()
         self.bytes += len(word)
+        plain = word.strip(EDGES)
+        if plain != word:  # the same word with signs at its edges
+            row = self[plain]
+        else:
+            row = self.rows
+            self.rows += 1
+            if row == len(self.parts):
+                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+            logit = n = 0.0
+            for k in grams(word) if word else ():
+                logit += self.logits[k]
+                n += self.known[k]
+            self.parts[row, 0], self.parts[row, 1] = logit, n
         self[word] = row
         return row
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if len(self) > MEMORY or self.bytes > 64 * MEMORY:
             self.clear()
-            self.bytes = 0
+            self.bytes = self.rows = 0
         words = [t.lower().split() for t in texts]
         sizes = [len(w) for w in words]
         found = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
         text = np.repeat(np.arange(len(texts)), sizes)
         total, n = (np.bincount(text, self.parts[found, k], len(texts)) for k in (0, 1))
-        z = self.model.bias + SCALE * total / np.maximum(n, 1)
+        z = self.bias + SCALE * total / np.maximum(n, 1)
         z = np.where(n > 0, z, np.minimum(z, -1.0))  # no evidence is not toxic
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
