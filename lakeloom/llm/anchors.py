@@ -107,15 +107,42 @@ def packed(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.n
     return np.where(copy, spread.view(np.int64) | first[head], anchor.view(np.int64)), np.where(copy, doc[head], content), doc, at
 
 
-def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
+#: Documents that are looked at for anchors that many runs share, about, and the different runs there that make one hot.
+SAMPLED, MANY = 4_000, 16
+#: Hot anchors that are dealt in parts, at most, and those parts. Others are dealt whole.
+HOT, PARTS = 10_000, 1_024
+
+
+def sampled(docs: DataFrame, id_col: str, total: int) -> DataFrame:
+    """About SAMPLED of ``total`` documents, the same ones each time."""
+    return docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, total // SAMPLED))) == 0)
+
+
+def hot(rows: DataFrame, saved: Saved, name: str) -> DataFrame:
+    """(anchor, hot): anchors that MANY different runs share in rows of a sample; HOT of them at most, which may be
+    broadcast. Like the bounds of a range exchange they decide where rows go and nothing else."""
+    plain = rows.where(F.col("at").bitwiseAND(F.lit(1)) == 0)
+    many = plain.groupBy("anchor").agg(F.approx_count_distinct("content").alias("many")).where(F.col("many") >= MANY)
+    return saved.put(many.orderBy(F.desc("many"), "anchor").limit(HOT).select("anchor", F.lit(True).alias("hot")), name)
+
+
+def judged(rows: DataFrame, saved: Saved, name: str, within: bool, hot: DataFrame | None = None, copies: bool = False) -> DataFrame:
     """(doc, first, n, src, src_first, open, anchor) from ROWs: runs that copy one that starts earlier, in the document
     ``src`` at ``src_first``; and with ``open`` (these have their anchor) first occurrences of runs whose anchor other runs have too, which may
-    share some of their windows."""
+    share some of their windows. ``copies``: only the former. Runs of ``hot`` anchors are dealt by content as well: such
+    an anchor has several runs for certain, so that they need not meet."""
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
-    same = W.partitionBy("anchor", "content").orderBy("doc", "at")
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        rows = rows.withColumn("part", F.when(F.col("hot"), F.pmod("content", F.lit(PARTS)).cast("int")).otherwise(0))
+        shared = ["anchor", "part"]
+    else:
+        rows, shared = rows.withColumn("hot", F.lit(False)), ["anchor"]
+    same = W.partitionBy(*shared, "content").orderBy("doc", "at")
     found = rows.select("*", F.first("doc").over(same).alias("src"), F.first("at").over(same).alias("src_at"), F.rank().over(same).alias("k"))
-    by_anchor = W.partitionBy("anchor")
-    found = found.select("*", (F.min("content").over(by_anchor) != F.max("content").over(by_anchor)).alias("several"))
+    if not copies:
+        group = W.partitionBy(*shared)
+        found = found.select("*", (F.col("hot") | (F.min("content").over(group) != F.max("content").over(group))).alias("several"))
     copy = (F.col("k") > 1) if within else (F.col("doc") > F.col("src"))
     found = found.select(
         "doc",
@@ -123,6 +150,6 @@ def judged(rows: DataFrame, saved: Saved, name: str, within: bool) -> DataFrame:
         F.shiftright("at", 1).bitwiseAND(F.lit(255)).cast("int").alias("n"),
         F.when(known, F.col("content")).otherwise(F.col("src")).alias("src"),
         F.when(known, F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("src_at", 9)).alias("src_first"),
-        (~known & ~copy).alias("open"), F.when(~known & ~copy, F.col("anchor")).alias("anchor"), (known | copy | F.col("several")).alias("kept"),
+        (~known & ~copy).alias("open"), F.when(~known & ~copy, F.col("anchor")).alias("anchor"), (known | copy | (F.lit(False) if copies else F.col("several"))).alias("kept"),
     )
     return saved.put(found.where("kept").drop("kept"), name)

@@ -145,10 +145,11 @@ def unzipped(batch, column: int, most: int = 8_000_000):
 def copied(plain: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, first, n, src, src_first) from docs (_id, _text): n windows from the word ``first`` on that start in the
     smaller document src already, from its word src_first on."""
-    found = anchors.judged(pieces(plain, window, anchor), saved, "paths", False)
+    hot = anchors.hot(pieces(anchors.sampled(plain, "_id", plain.count()), window, anchor), saved, "hot")
+    found = anchors.judged(pieces(plain, window, anchor), saved, "paths", False, hot)
     asked = found.where("open").groupBy("doc").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("ns"))  # of one document
     asked = zipped(plain, "_id", "_text").join(asked, F.col("_id") == F.col("doc")).select("_id", "_z", "firsts", "ns")
-    single = anchors.judged(edges(asked, window), saved, "edges", False)
+    single = anchors.judged(edges(asked, window), saved, "edges", False, copies=True)
     columns = ["doc", "first", "n", "src", "src_first"]
     return found.where("not open").select(columns).union(single.where("not open").select(columns))
 

@@ -39,6 +39,8 @@ WINDOW, ANCHOR = 100, 32
 CROWD = 10_000
 #: Bytes of runs in an index, about; whole anchors are kept together.
 INDEXED = 1 << 20
+#: Crowded anchors that are broadcast at most; more are joined by an exchange, whose hot partitions Spark splits.
+BROADCAST = 1_000_000
 #: Bytes whose runs are found at a time.
 BLOCK = 1 << 18
 BYTES = anchors.mixed(np.arange(1, 257, dtype=np.uint64) * anchors.M)
@@ -249,25 +251,34 @@ def marked(cuts: DataFrame, window: int) -> DataFrame:
 def copied(docs: DataFrame, saved: Saved, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, first, n): n windows from the byte ``first`` on that also start earlier."""
     plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    total = plain.count()
     columns, parts = ["doc", "first", "n"], []
     rows, length = pieces(plain, window, anchor), anchor
+    hot = anchors.hot(pieces(anchors.sampled(plain, "_id", total), window, anchor), saved, f"hot{length}")
     while True:
-        found = anchors.judged(rows, saved, f"runs{length}", True)
+        last = length == window  # different strings are left
+        found = anchors.judged(rows, saved, f"runs{length}", True, None if last else hot, copies=last)
         parts.append(found.where("not open").select(columns))
-        if length == window:  # different strings are left
+        if last:
             break
         asked = found.where("open").select("doc", "first", "n", "anchor")
         crowds = saved.put(asked.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > crowd), f"crowds{length}")
-        asked = asked.join(crowds, "anchor", "left").select("doc", "first", "n", F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"))
-        lists = asked.groupBy("doc").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("x"))  # of one document
-        some = lambda c, crowded: F.transform(F.filter("x", lambda r: r["anchor"].isNull() if crowded else r["anchor"].isNotNull()), lambda r: r[c])
-        texts = zipped(plain, "_id", "_text").join(lists, F.col("_id") == F.col("doc"))
-        part = lambda crowded, texts=texts, some=some: texts.select("_id", "_z", *(some(c, crowded).alias(c) for c in ("first", "n", "anchor"))).where(F.size("first") > 0)
+        few = crowds.count() <= BROADCAST
+        asked = asked.join(F.broadcast(crowds) if few else crowds, "anchor", "left").select("doc", "first", "n", F.when(F.col("many").isNull(), F.col("anchor")).alias("anchor"))
+
+        def part(crowded: bool, plain: DataFrame = plain, asked: DataFrame = asked) -> DataFrame:
+            runs = asked.where(F.col("anchor").isNull() if crowded else F.col("anchor").isNotNull())
+            lists = runs.groupBy("doc").agg(*(F.collect_list(c).alias(c) for c in ("first", "n")), F.collect_list(F.coalesce("anchor", F.lit(0))).alias("anchor"))  # of one document
+            return zipped(plain, "_id", "_text").join(lists, F.col("_id") == F.col("doc")).select("_id", "_z", "first", "n", "anchor")
+
         parts.append(saved.put(marked(cut(part(False), window), window), f"marked{length}").select(columns))
         if crowds.isEmpty():
             break
         length = min(2 * length, window)
         rows = recut(part(True), window, length)
+        if length < window:
+            some = anchors.sampled(plain, "_id", total), anchors.sampled(asked, "doc", total)
+            hot = anchors.hot(recut(part(True, *some), window, length), saved, f"hot{length}")
     return reduce(DataFrame.union, parts)
 
 

@@ -50,6 +50,20 @@ def test_suffix(request, saved, which, crowd):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and len(r.spans) == r.n_spans
 
 
+@pytest.mark.parametrize("crowd", [2, 10_000])
+def test_hot_anchors(edge, saved, monkeypatch, crowd):
+    """Runs of anchors that several share are dealt by content as well; what is found stays the same."""
+    monkeypatch.setattr(anchors, "MANY", 2)
+    rows = rows_of(edge)
+    by_id = brute.suffix(rows)
+    got = {r.doc_id: tuple(r) for r in suffix_dedup.dedup(edge, saved, crowd=crowd).drop("spans").collect() if r.doc_id is not None}
+    assert got == {i: (i, *v) for i, v in by_id.items()}
+    words = substring_dedup.dedup(edge, saved).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in words if r.doc_id is not None} == {i: v[:3] for i, v in brute.substring(rows).items()}
+    for name in ("hot32", "hot"):
+        assert saved.spark.read.parquet(f"{saved.root}/{name}").count() > 0
+
+
 def test_suffix_array_and_index():
     rng = random.Random(1)
     for n in (1, 2, 9, 300):
