@@ -3,7 +3,8 @@
 In each pass vectors are ordered by label and then by a string of random bits: the signs of projections on random
 directions, one after the other. Vectors with a small angle agree in most signs, so that they often stand near each
 other; each is compared, exactly, with the ``near`` vectors after it. Passes with other directions find what one pass
-parts. Pairs of all passes are united, and components are the connected vectors. Windows are bounded, so a dense group
+parts. Pairs of all passes are united, each batch's as ties to the first vector that they reach, and components are the
+connected vectors. Windows are bounded, so a dense group
 has more links than they show: the classes of each component are then all compared with each other, in blocks, and
 n_links counts what is found there. Links that no pass finds and no component holds are missed; a pass finds fewer of
 them in a longer order, so there are more passes where a label has very many classes.
@@ -82,11 +83,26 @@ def projected(classes: DataFrame, passes: int, seed: int, kind: type) -> DataFra
     return arrow_map(classes.select("class", "label", "vec"), run, SORTED)
 
 
+def first_reached(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, which pairs (i, j) tie, the smallest one that can be reached."""
+    root = np.arange(n)
+    while True:
+        low, then = np.minimum(root[i], root[j]), root.copy()
+        np.minimum.at(then, root[i], low)
+        np.minimum.at(then, root[j], low)
+        then = then[then]
+        if (then == root).all():
+            return root
+        root = then
+
+
 class Neighbours:
-    """Takes rows in their order and gives pairs of classes at most ``near`` apart with a cosine that is high enough."""
+    """Takes rows in their order and gives pairs of classes at most ``near`` apart with a cosine that is high enough.
+    With ``ties`` each class in such a pair is given just with the first one that the pairs tie it to among the rows at
+    hand: the same components, but a row for each class, however dense its neighbourhood."""
 
-    def __init__(self, near: int, least: float, kind: type):
-        self.near, self.least, self.kind = near, least, kind
+    def __init__(self, near: int, least: float, kind: type, ties: bool):
+        self.near, self.least, self.kind, self.ties = near, least, kind, ties
         self.group, self.classes, self.vecs = [np.zeros(0, np.int64)] * 3, np.zeros(0, np.int64), []
 
     def __call__(self, group: list[np.ndarray], classes: np.ndarray, vecs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +121,16 @@ class Neighbours:
                 cosine = (x[at : at + 512] @ x[at:to].T) / np.outer(norm[at : at + 512], norm[at:to])
                 i, j = np.nonzero(cosine >= self.least)
                 ok = (j > i) & (j - i <= self.near) & (at + start + j >= old)
-                a.append(classes[at + start + i[ok]])
-                b.append(classes[at + start + j[ok]])
+                a.append(at + start + i[ok])
+                b.append(at + start + j[ok])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if self.ties:
+            b = first_reached(a, b, len(classes))
+            a = np.nonzero(b != np.arange(len(b)))[0]
+            b = b[a]
+        a, b = classes[a], classes[b]
         keep = max(0, len(classes) - self.near)
         self.group, self.classes, self.vecs = [x[keep:] for x in group], classes[keep:], vecs[keep:]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -123,7 +144,7 @@ def _pairs(a, b):
 FOUND = "a long, b long, cut int, place int, pass int, label long, dim int, vec binary"
 
 
-def compared(rows: DataFrame, near: int, least: float, kind: type, total: int | None = None) -> DataFrame:
+def compared(rows: DataFrame, near: int, least: float, kind: type, total: int | None = None, ties: bool = False) -> DataFrame:
     """FOUND: pairs (a, b) of each range of sorted rows; and the rows beside its cuts, with cut and place, in a. Ranges
     hold several times ``near`` rows each, so that no window reaches over a whole one; total is the count of rows."""
     total = rows.count() if total is None else total
@@ -135,7 +156,7 @@ def compared(rows: DataFrame, near: int, least: float, kind: type, total: int |
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId()
-        look, count = Neighbours(near, least, kind), 0
+        look, count = Neighbours(near, least, kind, ties), 0
         names = [x.split()[0] for x in FOUND.split(", ")]
         last = None
 
@@ -160,14 +181,14 @@ def compared(rows: DataFrame, near: int, least: float, kind: type, total: int |
     return arrow_map(dealt, run, FOUND)
 
 
-def across(found: DataFrame, near: int, least: float, kind: type) -> DataFrame:
+def across(found: DataFrame, near: int, least: float, kind: type, ties: bool = False) -> DataFrame:
     """(a, b): pairs of rows on the two sides of a cut."""
     sides = found.where("cut >= 0").select("cut", "place", "pass", "label", "dim", "a", "vec").repartition("cut").sortWithinPartitions("cut", "place")
 
     def run(batches):
         import pyarrow as pa
 
-        look = Neighbours(near, least, kind)
+        look = Neighbours(near, least, kind, ties)
         for batch in batches:
             columns = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3, 4)]
             a, b = look_in(look, columns, batch)
@@ -245,8 +266,8 @@ def dedup(vectors: DataFrame, saved: Saved, least: float = 0.93, passes: int = P
     classes = saved.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     most, total = (x or 0 for x in classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first())
     passes = max(passes, int(np.ceil(passes * (most / MANY) ** MORE)))
-    found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind, total * passes), "compared")
-    pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least, kind)).distinct(), "pairs")
+    found = saved.put(compared(projected(classes, passes, seed, kind), near, least, kind, total * passes, True), "compared")
+    pairs = saved.put(found.where("b is not null").select("a", "b").union(across(found, near, least, kind, True)).distinct(), "pairs")
     roots = saved.put(components(pairs, saved).withColumnRenamed("node", "class"), "roots")
     degree = counted(classes, roots, least, kind)
     tied = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -272,3 +272,16 @@ def test_windows_reach_over_cuts(spark, saved):
         assert sorted(tuple(r) for r in pairs.collect()) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_first_reached():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 300):
+        i, j = rng.integers(0, n, (2, n // 2))
+        chain = np.arange(n - 1) if n == 40 else np.zeros(0, np.int64)  # one path
+        i, j = np.concatenate([i, chain]), np.concatenate([j, chain + 1])
+        near = {k: [k, *j[i == k].tolist(), *i[j == k].tolist()] for k in range(n)}
+        want = list(range(n))
+        for _ in range(n):
+            want = [min(want[m] for m in near[k]) for k in range(n)]
+        assert embedding_dedup.first_reached(i, j, n).tolist() == want
