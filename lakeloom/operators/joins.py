@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "asof_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], prefix: str = "asof_", cell: Column | None = None) -> DataFrame:
     """Each left row with the values of the last right row with the same keys whose time is not after its own.
 
     One shuffle of both sides together and one sort; no pair of rows is ever made. Of right rows with one time the
     largest values win. Left rows without a match get nulls; null keys match nothing.
+
+    ``cell``, an expression that never falls as ``on`` rises (the day of a time, say), cuts the rows of a key, so that
+    a key with very many rows is sorted in as many tasks as it has cells. What a cell hands on is one row.
     """
     names = [f"{prefix}{v}" for v in values]
     tagged = left.select("*", F.lit(None).cast(_struct(right, values)).alias("_r"), F.lit(1).alias("_side"))
     others = right.select(*by, on, F.struct(*values).alias("_r"), F.lit(0).alias("_side")).where(_all(F.col(k).isNotNull() for k in [*by, on]))
     both = tagged.unionByName(others, allowMissingColumns=True)
-    w = W.partitionBy(*by).orderBy(F.col(on).asc(), F.col("_side").asc(), F.col("_r").asc()).rowsBetween(W.unboundedPreceding, 0)
+    keys = list(by)
+    if cell is not None:
+        both, keys = both.withColumn("_cell", cell), [*by, "_cell"]
+    w = W.partitionBy(*keys).orderBy(F.col(on).asc(), F.col("_side").asc(), F.col("_r").asc()).rowsBetween(W.unboundedPreceding, 0)
     found = both.select("*", F.last("_r", ignorenulls=True).over(w).alias("_found")).where("_side = 1")
+    if cell is not None:
+        ends = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.struct(on, "_r"))).alias("_end"))
+        before = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        ends = ends.select(*keys, F.last("_end", ignorenulls=True).over(before)["_r"].alias("_before"))
+        found = found.join(ends, keys, "left").withColumn("_found", F.coalesce("_found", "_before"))
     return found.select(*left.columns, *(F.col(f"_found.{v}").alias(n) for v, n in zip(values, names, strict=True)))
 
 

@@ -46,7 +46,7 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.where("event_type = 'view'").select("user_id", "ts", "value")
-    return joins.asof_join(purchases, views, ["user_id"], "ts", ["value"], "view_").drop("ts")
+    return joins.asof_join(purchases, views, ["user_id"], "ts", ["value"], "view_", F.col("ts").cast("date")).drop("ts")
 
 
 ASOF = """SELECT p.event_id, p.user_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p

@@ -17,6 +17,14 @@ def test_asof(spark):
     assert {r.id: r.asof_v for r in found.collect()} == {1: "y", 2: None, 3: None, 4: None}
 
 
+def test_asof_in_cells(spark):
+    draw = lambda seed, n: spark.range(n).select(F.when(F.rand(seed) < 0.8, "hot").when(F.rand(seed + 1) < 0.9, "b").alias("k"), F.when(F.rand(seed + 2) < 0.95, F.floor(F.rand(seed + 3) * 60) - 20).alias("t"), F.col("id").alias("v"))
+    left, right = draw(1, 300).withColumnRenamed("v", "id"), draw(5, 40)
+    whole, cut = (joins.asof_join(left, right, ["k"], "t", ["v"], cell=c) for c in (None, F.floor(F.col("t") / 3)))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    assert cut.where("asof_v is not null").count() > 150 and cut.columns == whole.columns
+
+
 def test_range_and_salted(spark):
     points = spark.createDataFrame([(x,) for x in (-7, 0, 4, 5, 12)], "x int")
     ranges = spark.createDataFrame([(1, -10, 5), (2, 5, 6), (3, 8, 8)], "r int, low int, high int")
