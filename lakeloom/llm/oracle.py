@@ -74,6 +74,19 @@ m AS (SELECT x.source, min(struct_pack(o := abs(size - gap), q := q, i := doc_id
 SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN doc_id = b.i THEN 1 ELSE extra END) AS BIGINT) AS taken
 FROM x LEFT JOIN m ON x.source IS NOT DISTINCT FROM m.source"""
 
+#: The statistics and base limits of OP5, without what is learned.
+STATISTICS = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8) AS x),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM c WHERE n > 1) AS x GROUP BY doc_id),
+s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s"""
+
 _TWO, _ADDRESS = f"regexp_matches(name, '{two_labels()}')", f"regexp_matches(name, '{ADDRESS}')"
 
 

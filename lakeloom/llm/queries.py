@@ -40,6 +40,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts and its base limits: the part of it that SQL can check."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), [])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = Saved(spark, "op6")
     found = simhash.groups(table(spark, sf_dir, "documents"), saved)
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_embedding_dedup": op10_embedding_dedup,
+        "quality_statistics": quality_statistics,
     }
 
 
@@ -91,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": oracle.OP7,
         "op9_substring_dedup": oracle.OP9,
         "op10_embedding_dedup": oracle.OP10,
+        "quality_statistics": oracle.STATISTICS,
     }
