@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.aliases import with_aliases
 from ..operators import joins, windows
-from . import lake_queries, sensor, ssb, surface, tpch
+from . import lake_queries, not_in, sensor, ssb, surface, tpch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -37,7 +37,7 @@ def register(spark: SparkSession, sf_dir: str, text: str) -> None:
 def sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir, text)
-        return spark.sql(with_aliases(text))
+        return spark.sql(not_in.by_key(spark, with_aliases(text)))
 
     return run
 

@@ -17,7 +17,7 @@ from .catalog import Catalog
 from .errors import ConfigError, EntityNotFoundError, LakeError, ResolutionError, UnsupportedError
 from .functions.aliases import with_aliases
 from .ledger import Ledger
-from .plans import resolve, skipping
+from .plans import not_in, resolve, skipping
 from .sources.frames import read_cells
 from .types import spark_schema
 
@@ -182,7 +182,7 @@ class SqlSession:
                 names.append(f"lake_{uuid.uuid4().hex}")
                 read_cells(self.spark, self.storage.root, "/".join(frames[r.start]), schema, read).createOrReplaceTempView(names[-1])
                 views[r.start] = (r, names[-1])
-            result = self.spark.sql(resolve.replaced(text, views))
+            result = self.spark.sql(not_in.by_key(self.spark, resolve.replaced(text, views)))
         finally:
             for name in names:
                 self.spark.catalog.dropTempView(name)

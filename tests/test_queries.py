@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from lakeloom import Lake
 from lakeloom.functions.aliases import with_aliases
-from lakeloom.plans import catalogue
+from lakeloom.plans import catalogue, not_in
 
 DATA = "/root/testdata/sf0.001"
 ALL = catalogue.everything()
@@ -52,3 +53,66 @@ def test_filters_reach_the_scan(spark):
 
 def test_aliases():
     assert with_aliases("SELECT approx_percentile_cont(x, 0.5), 'approx_distinct(' FROM t -- approx_distinct(x)\n") == "SELECT percentile_approx(x, 0.5), 'approx_distinct(' FROM t -- approx_distinct(x)\n"
+
+
+ODD = {
+    "t": "(0, 1), (1, 2), (2, NULL), (NULL, 3), (4, 0), (7, 7)",
+    "u": "(0, 5), (2, 2), (2, 3), (9, 4)",
+    "w": "(0, 1), (NULL, 2), (2, 3)",
+}
+NOT_IN = [  # text, and whether Spark's join for NOT IN must be gone
+    ("SELECT * FROM t WHERE a NOT IN (SELECT a FROM {q})", True),
+    ("SELECT * FROM t WHERE NOT ((a + b)) IN (SELECT a FROM {q}) AND b > 0", True),
+    ("SELECT t.a FROM t WHERE (t.a) NOT IN (SELECT CAST(a AS INT) FROM {q} -- )\n) AND b NOT IN (SELECT b FROM u)", True),
+    ("SELECT * FROM t WHERE a NOT IN (SELECT a FROM u WHERE b NOT IN (SELECT a FROM {q}))", True),
+    ("WITH c AS (SELECT a FROM t WHERE a NOT IN (SELECT a FROM {q})), d AS (SELECT a FROM {q}) SELECT * FROM c WHERE a + 1 NOT IN (SELECT a FROM d)", True),
+    ("SELECT 'é' AS z, a FROM t WHERE 'x NOT IN (' <> '' AND a NOT IN (SELECT a FROM {q} UNION SELECT b FROM u)", True),
+    ("SELECT * FROM t AS x WHERE x.a NOT IN (SELECT x.a FROM {q} AS x)", True),
+    ("SELECT * FROM (SELECT a AS lake_in, b FROM t) AS s WHERE lake_in NOT IN (SELECT CAST(a AS DOUBLE) FROM {q})", True),
+    ("SELECT * FROM t WHERE a NOT IN (SELECT a FROM {q} WHERE {q}.b = t.b)", False),
+    ("SELECT * FROM t WHERE a NOT IN (SELECT a FROM {q}) OR b = 7", False),
+    ("SELECT * FROM t WHERE NOT (a NOT IN (SELECT a FROM {q}))", False),
+    ("SELECT a, COUNT(*) AS n FROM t GROUP BY a HAVING COUNT(*) NOT IN (SELECT a FROM {q})", False),
+    ("SELECT * FROM t WHERE a NOT IN (SELECT a FROM {q} WHERE a IS NOT NULL ORDER BY a LIMIT 1)", False),
+    ("SELECT * FROM t WHERE (a, b) NOT IN (SELECT a, b FROM {q})", False),
+]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+@pytest.mark.parametrize("text, gone", NOT_IN)
+def test_not_in_by_key(spark, text, gone, threshold):
+    own, con = spark.newSession(), duckdb.connect()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for name, values in (ODD | {"e": "(1, 1)"}).items():  # e has no rows
+        view = f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES {values}) AS v(a, b) WHERE '{name}' <> 'e'"
+        con.execute(f"CREATE VIEW {name} AS {view}")
+        own.sql(view).createOrReplaceTempView(name)
+    for q in "uwe" if threshold == "-1" else "w":
+        sql = text.format(q=q)
+        found = own.sql(not_in.by_key(own, sql))
+        assert rows(found.toPandas()) == rows(con.execute(sql).df())
+        if gone and threshold == "-1":  # Spark broadcasts for NOT IN at any size
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "Broadcast" not in plan
+
+
+def test_not_in_of_a_large_query(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name in ("sub_not_in_null_aware", "sub_not_in_with_null"):
+        assert "Broadcast" not in ALL[name][0](own, DATA)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_not_in_over_frames(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    with Lake("not_in", str(tmp_path), own) as lake:
+        lake.create_hive("h")
+        lake.create_box("h", "b")
+        for name, values in ODD.items():
+            lake.create_frame("h", "b", name, {"a": "int64", "b": "int64"})
+            lake.write_df("h", "b", name, own.sql(f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM (VALUES {values}) AS v(a, b)"))
+        found = lake.sql_df("SELECT a FROM h.b.t WHERE a NOT IN (SELECT a FROM h.b.u)")
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.a for r in found.collect()) == [1, 4, 7]
+        assert lake.sql_df("SELECT a FROM h.b.t WHERE a NOT IN (SELECT a FROM h.b.w)").count() == 0
