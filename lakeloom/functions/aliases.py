@@ -8,7 +8,7 @@ import re
 ALIASES = {
     "approx_percentile_cont": "percentile_approx",
     "approx_median": "median",
-    "approx_distinct": "approx_count_distinct",
+    "approx_distinct": "approx_count_distinct",  # only with a second argument, the error allowed; else see _sketched
     "array_agg": "collect_list",
     "bool_and": "every",
     "bool_or": "some",
@@ -16,8 +16,47 @@ ALIASES = {
     "to_timestamp_millis": "timestamp_millis",
     "to_timestamp_seconds": "timestamp_seconds",
 }
-_TOKENS = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/)|\b([A-Za-z_]\w*)(?=\s*\()", re.S)
+_QUOTED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/"
+_TOKENS = re.compile(rf"({_QUOTED})|\b([A-Za-z_]\w*)(?=\s*\()", re.S)
+_MARKS = re.compile(rf"{_QUOTED}|[(),]", re.S)
+_GAP = r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*"
+_FILTER = re.compile(rf"{_GAP}\bFILTER{_GAP}(?=\()", re.S | re.I)
+_OVER = re.compile(rf"{_GAP}\bOVER\b{_GAP}(?:(?=\()|[A-Za-z_]\w*|`(?:[^`]|``)*`)", re.S | re.I)
+#: The logarithm of a sketch's registers: a standard error of 0.8 %, where approx_count_distinct has one of 5 %.
+REGISTERS = 14
+
+
+def _closed(sql: str, start: int) -> tuple[int, bool]:
+    """Where the parenthesis that opens at start is closed, and whether a comma stands directly inside."""
+    depth, comma = 0, False
+    for m in _MARKS.finditer(sql, start):
+        depth += (m[0] == "(") - (m[0] == ")")
+        comma |= m[0] == "," and depth == 1
+        if depth == 0:
+            return m.end(), comma
+    return -1, comma
+
+
+def _sketched(sql: str) -> str:
+    """approx_distinct of one argument by a sketch of its hashes. A sketch of few values is small, so that one for each
+    group, or for each value where COUNT(DISTINCT ...) stands beside it, can be sorted and shuffled."""
+    calls = [m for m in _TOKENS.finditer(sql) if m[2] and m[2].lower() == "approx_distinct"]
+    for call in reversed(calls):  # what follows a call has been rewritten before it
+        opens = sql.index("(", call.end())
+        end, comma = _closed(sql, opens)
+        value = re.sub(r"(?i)^\s*(?:DISTINCT|ALL)\b", "", sql[opens + 1 : end - 1])
+        if end < 0 or comma or value.strip() in ("", "*"):
+            continue
+        last = end
+        for clause in (_FILTER, _OVER):
+            if m := clause.match(sql, last):
+                last = _closed(sql, m.end())[0] if sql[m.end() : m.end() + 1] == "(" else m.end()
+        if last < 0:
+            continue
+        sketch = f"hll_sketch_agg(CASE WHEN ({value}\n) IS NOT NULL THEN xxhash64({value}\n) END, {REGISTERS})"
+        sql = f"{sql[: call.start()]}hll_sketch_estimate({sketch}{sql[end:last]}){sql[last:]}"
+    return sql
 
 
 def with_aliases(sql: str, aliases: dict[str, str] = ALIASES) -> str:
-    return _TOKENS.sub(lambda m: m[0] if m[1] else aliases.get(m[2].lower(), m[2]), sql)
+    return _TOKENS.sub(lambda m: m[0] if m[1] else aliases.get(m[2].lower(), m[2]), _sketched(sql))

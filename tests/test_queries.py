@@ -116,3 +116,21 @@ def test_not_in_over_frames(spark, tmp_path):
         assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
         assert sorted(r.a for r in found.collect()) == [1, 4, 7]
         assert lake.sql_df("SELECT a FROM h.b.t WHERE a NOT IN (SELECT a FROM h.b.w)").count() == 0
+
+
+def test_approx_distinct_is_near(spark):
+    found = spark.sql(with_aliases("SELECT g, approx_distinct(id * 40 + g) AS n FROM (SELECT id, EXPLODE(SEQUENCE(0, 39)) AS g FROM RANGE(20000)) GROUP BY g")).collect()
+    assert len(found) == 40 and max(abs(r.n - 20000) for r in found) < 800  # five times the standard error
+
+
+def test_approx_distinct_of_few(spark):
+    spark.range(300).selectExpr(
+        "id", "id % 3 AS g", "CAST(id % 100 AS STRING) AS s", "CAST(id % 7 AS DOUBLE) AS d", "IF(id % 5 = 0, NULL, id % 9) AS n", "ARRAY(id % 4) AS a", "NAMED_STRUCT('x', id % 6) AS st", "IF(id % 2 = 0, '', 'x') AS e"
+    ).createOrReplaceTempView("few")
+    of = lambda text: [tuple(r) for r in spark.sql(with_aliases(text)).collect()]
+    assert of("SELECT approx_distinct(id), Approx_Distinct (s), approx_distinct(d), approx_distinct(n), approx_distinct(a), approx_distinct(st), approx_distinct(e), approx_distinct(DISTINCT id % 10) FROM few") == [(300, 100, 7, 9, 4, 6, 2, 10)]
+    assert of("SELECT g, approx_distinct(id) /* ( */ FILTER (WHERE id < 30), approx_distinct(CONCAT(s, ',', ')')), approx_distinct(s) - COUNT(DISTINCT s) FROM few GROUP BY g ORDER BY g") == [(g, 10, 100, 0) for g in range(3)]
+    assert of("SELECT DISTINCT approx_distinct(s) OVER (PARTITION BY g), approx_distinct(id % 20) OVER w FROM few WINDOW w AS (PARTITION BY g)") == [(100, 20)]
+    assert of("SELECT approx_distinct(id -- it's ), a\n) FILTER (WHERE id < (SELECT approx_distinct(s) FROM few)), 'approx_distinct(x)' FROM few") == [(100, "approx_distinct(x)")]
+    assert of("SELECT approx_distinct(id), approx_distinct(CAST(NULL AS INT)) FROM few WHERE id < 0") == [(0, 0)]
+    assert with_aliases("SELECT approx_distinct(id, 0.2) FROM few") == "SELECT approx_count_distinct(id, 0.2) FROM few"
